@@ -79,14 +79,11 @@ def wide(state: DataFrame, entities: DataFrame, type_ids: list[int], entity: str
     """
     if len(type_ids) > MAX_TYPES:
         raise ValueError(f"{len(type_ids)} event types; a wide table is made for {MAX_TYPES} at most")
-    latest = state.groupBy("entity").agg(F.max("last").alias("latest"))
-    cells = state.where(F.col("type_id") != UNKNOWN).groupBy("entity").pivot("type_id", type_ids).agg(*[F.first(c).alias(c) for c in [*SUMS, *MAXIMA]])
-    rows = entities.select("entity").distinct().join(latest, "entity", "left").join(cells, "entity", "left")
-    out = [F.col("entity").alias(entity), F.col("latest").alias("latest_end_us")]
-    for i in type_ids:
-        out += [F.coalesce(F.col(f"{i}_n"), F.lit(0)).alias(f"n_{i}"), F.coalesce(F.col(f"{i}_total"), F.lit(0)).alias(f"total_{i}"), (F.col("latest") - F.col(f"{i}_last")).alias(f"since_{i}")]
-        out += [F.coalesce(F.col(f"{i}_n_f"), F.lit(0)).alias(f"n_mgr_{i}"), F.coalesce(F.col(f"{i}_total_f"), F.lit(0)).alias(f"total_mgr_{i}"), (F.col("latest") - F.col(f"{i}_last_f")).alias(f"since_mgr_{i}")]
-    return rows.select(*out)
+    per_type = F.map_from_entries(F.collect_list(F.when(F.col("type_id") != UNKNOWN, F.struct("type_id", F.struct(*SUMS, *MAXIMA)))))  # one entry a type: MAX_TYPES at most
+    rows = entities.select("entity").distinct().join(state.groupBy("entity").agg(F.max("last").alias("latest"), per_type.alias("m")), "entity", "left")
+    rows = rows.selectExpr("entity", "latest", *[f"m[{i}] AS c{i}" for i in type_ids])
+    cells = "coalesce(c{0}.n, 0L) AS n_{0}|coalesce(c{0}.total, 0L) AS total_{0}|latest - c{0}.last AS since_{0}|coalesce(c{0}.n_f, 0L) AS n_mgr_{0}|coalesce(c{0}.total_f, 0L) AS total_mgr_{0}|latest - c{0}.last_f AS since_mgr_{0}"
+    return rows.selectExpr(f"entity AS `{entity}`", "latest AS latest_end_us", *[c for i in type_ids for c in cells.format(i).split("|")])
 
 
 def spelled(name: Column) -> Column:

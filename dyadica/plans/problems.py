@@ -49,9 +49,10 @@ y AS (SELECT rank, s, e, max(e) OVER (PARTITION BY rank ORDER BY s, e ROWS BETWE
 def _features_sql(ids: range = range(1, 354)) -> str:
     cells = []
     for i in ids:
+        c = f"c[{i}]"
         cells.append(
-            f"CAST(coalesce(sum(n) FILTER (tid = {i}), 0) AS BIGINT) AS n_{i}, CAST(coalesce(sum(total) FILTER (tid = {i}), 0) AS BIGINT) AS total_{i}, max(latest) - max(last) FILTER (tid = {i}) AS since_{i}, "
-            f"CAST(coalesce(sum(n_f) FILTER (tid = {i}), 0) AS BIGINT) AS n_mgr_{i}, CAST(coalesce(sum(total_f) FILTER (tid = {i}), 0) AS BIGINT) AS total_mgr_{i}, max(latest) - max(last_f) FILTER (tid = {i}) AS since_mgr_{i}"
+            f"coalesce({c}.n, 0) AS n_{i}, coalesce({c}.total, 0) AS total_{i}, latest - {c}.last AS since_{i}, "
+            f"coalesce({c}.n_f, 0) AS n_mgr_{i}, coalesce({c}.total_f, 0) AS total_mgr_{i}, latest - {c}.last_f AS since_mgr_{i}"
         )
     return rf"""
 WITH once AS (SELECT DISTINCT rank, grp, event, t_start_us, t_end_us FROM timer_events WHERE t_end_us > t_start_us),
@@ -61,8 +62,10 @@ ev AS (SELECT coalesce(own, CASE WHEN grp >= 0 THEN grp END) AS g, coalesce(tid,
   FROM once LEFT JOIN procs USING (rank) LEFT JOIN names ON name = trim(lower(regexp_replace(event, '[\s_\-]+', ' ', 'g')))),
 state AS (SELECT g, tid, count(*) AS n, sum(len) AS total, max(e) AS last, count(*) FILTER (f) AS n_f, coalesce(sum(len) FILTER (f), 0) AS total_f, max(e) FILTER (f) AS last_f FROM ev WHERE g IS NOT NULL GROUP BY 1, 2),
 grps AS (SELECT DISTINCT grp AS g FROM rank_attributes WHERE grp >= 0 UNION SELECT DISTINCT g FROM state),
-rows_ AS (SELECT grps.g AS grp, tid, n, total, last, n_f, total_f, last_f, max(last) OVER (PARTITION BY grps.g) AS latest FROM grps LEFT JOIN state ON state.g = grps.g)
-SELECT grp, max(latest) AS latest_end_us, {", ".join(cells)} FROM rows_ GROUP BY grp"""
+full_ AS (SELECT grps.g AS grp, i, (SELECT max(last) FROM state WHERE state.g = grps.g) AS latest FROM grps, range(1, {ids.stop}) t(i)),
+rows_ AS (SELECT full_.grp, latest, list(CASE WHEN n IS NULL THEN NULL ELSE {{'n': n, 'total': CAST(total AS BIGINT), 'last': last, 'n_f': n_f, 'total_f': CAST(total_f AS BIGINT), 'last_f': last_f}} END ORDER BY i) AS c
+  FROM full_ LEFT JOIN state ON state.g = full_.grp AND state.tid = full_.i GROUP BY 1, 2)
+SELECT grp, latest AS latest_end_us, {", ".join(cells)} FROM rows_"""
 
 
 ORACLE = {
