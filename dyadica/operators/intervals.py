@@ -24,7 +24,7 @@ def _heads(df: DataFrame, keys: list[str], start: str, end: str, floor: int) ->
     named = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     rows = rows.where(all_of([F.col(c).isNotNull() for c in [*named, "_s", "_e"]]) & (F.col("_e") > F.col("_s")))
-    rows, hot = with_blocks(rows, named, "_s", floor=floor)
+    rows, hot = with_blocks(rows, named, "_s", floor=floor, counted=df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)]))
     unit = [*named, "_blk"] if hot else named
     length = F.col("_e") - F.col("_s")
     lasting = F.make_interval(hours=F.floor(length / F.lit(HOUR_US)).cast("int"), secs=(length % HOUR_US).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)"))

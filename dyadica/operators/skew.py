@@ -34,14 +34,15 @@ def hot_keys(df: DataFrame, keys: list[str], floor: int = FLOOR) -> list[Row]:
     return df.where(some).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).collect()
 
 
-def with_blocks(df: DataFrame, keys: list[str], order: str, out: str = "_blk", floor: int = FLOOR) -> tuple[DataFrame, bool]:
+def with_blocks(df: DataFrame, keys: list[str], order: str, out: str = "_blk", floor: int = FLOOR, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Add ``out``: 0 for ordinary keys; for hot keys a block number that grows with ``order``.
 
     The blocks of a hot key hold about ``floor`` rows each: their limits are approximate
     quantiles of ``order``, found by a mergeable sketch over the hot rows alone. Rows with equal
-    ``order`` share a block. A null ``order`` goes to block 0. Returns the frame and whether any key is hot.
+    ``order`` share a block. A null ``order`` goes to block 0. ``counted`` may name a cheaper frame with
+    the same keys to count them in. Returns the frame and whether any key is hot.
     """
-    hot = hot_keys(df, keys, floor)
+    hot = hot_keys(df if counted is None else counted, keys, floor)
     if not hot:
         return df.withColumn(out, F.lit(0)), False
     spark = df.sparkSession

@@ -173,7 +173,7 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules(), *, source: str
     st_bad = F.isnan("st") | (F.col("st") <= 0) | (F.col("st") > rules.latest)
     one = one.withColumn("bad", F.coalesce(v_bad, F.lit(False)) | F.coalesce(st_bad, F.lit(False)))
     one = one.withColumn("st", F.when(~F.coalesce(st_bad, F.lit(True)), F.col("st")))
-    blocked, hot = with_blocks(one.where("src IS NOT NULL"), ["src"], "st", floor=floor)
+    blocked, hot = with_blocks(one.where("src IS NOT NULL"), ["src"], "st", floor=floor, counted=df.select(F.col(source).cast("bigint").alias("src")))
     blocked = blocked.withColumn("halo", F.lit(False))
     if hot:
         near = max(rules.run - 1, rules.reach)
