@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadica.session import cut
+
 KEYS = ["entity", "type_id"]
 #: Columns of the state besides the keys; a name ending in _f counts flagged events alone.
 SUMS = ["n", "total", "n_f", "total_f"]
@@ -60,13 +62,17 @@ def apply_deltas(state: DataFrame | None, deltas: DataFrame, survivors: DataFram
         d = new.select(*KEYS, *[F.col(c).alias(f"d_{c}") for c in SUMS], *[f"{s}_{c}" for s in ("in", "out") for c in MAXIMA])
         new = was.join(d, KEYS, "full").select(*KEYS, *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in SUMS], *[F.greatest(f"was_{c}", f"in_{c}").alias(f"in_{c}") for c in MAXIMA], *[f"out_{c}" for c in MAXIMA])
     hit = (F.coalesce(F.col("out_last") >= F.col("in_last"), F.lit(False))) | (F.coalesce(F.col("out_last_f") >= F.col("in_last_f"), F.lit(False)))
-    new = new.where("n > 0").withColumn("hit", hit)
+    new = cut(new.where("n > 0").withColumn("hit", hit))
     again = (
         survivors.join(new.where("hit").select(*KEYS), KEYS, "left_semi")
         .groupBy(*KEYS)
         .agg(F.max("end").alias("re_last"), F.max(F.when(F.col("flagged"), F.col("end"))).alias("re_last_f"))
     )
-    return new.join(again, KEYS, "left").select(*KEYS, *SUMS, *[F.when(F.col("hit"), F.col(f"re_{c}")).otherwise(F.col(f"in_{c}")).alias(c) for c in MAXIMA])
+    if not new.where("hit").isEmpty():
+        new = cut(new.join(again, KEYS, "left"))
+    else:
+        new = new.withColumns({f"re_{c}": F.lit(None).cast("bigint") for c in MAXIMA})
+    return new.select(*KEYS, *SUMS, *[F.when(F.col("hit"), F.col(f"re_{c}")).otherwise(F.col(f"in_{c}")).alias(c) for c in MAXIMA])
 
 
 def wide(state: DataFrame, entities: DataFrame, type_ids: list[int], entity: str) -> DataFrame:
