@@ -99,7 +99,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
             rest = left[s] - full * j if full < n else 0
             if full:
                 put(s, full * j, at, j)
-                room(gap - full * j * s // full, at, full)
+                room(gap - j * s, at, full)
             if rest:
                 put(s, rest, at + full, rest)
                 room(gap - rest * s, at + full, 1)

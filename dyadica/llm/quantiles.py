@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dyadica.session import cut, stored
 
@@ -79,10 +80,10 @@ def select_ranks(summary: DataFrame, levels: dict[str, int] | None = None) -> Da
     An empty summary gives an empty table.
     """
     levels = levels or LEVELS
-    pair = F.array_sort(F.collect_list(F.struct("bucket", "n")))  # a key's buckets of one day: bounded by the buckets there are
-    part = summary.groupBy("scope", "key", "day").agg(pair.alias("x"))
-    sums = F.aggregate("x", F.array().cast("array<bigint>"), lambda acc, e: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + e["n"])))
-    part = stored(part.select("scope", "key", F.col("x.bucket").alias("b"), sums.alias("c")))
+    upto = F.sum("n").over(Window.partitionBy("scope", "key", "day").orderBy("bucket"))
+    pair = F.array_sort(F.collect_list(F.struct("bucket", "upto")))  # a key's buckets of one day: bounded by the buckets there are
+    part = summary.withColumn("upto", upto).groupBy("scope", "key", "day").agg(pair.alias("x"))
+    part = stored(part.select("scope", "key", F.col("x.bucket").alias("b"), F.col("x.upto").alias("c")))
     ranks = F.array(*[F.struct(F.lit(name).alias("q"), F.expr(f"(n * {m}L + 999L) div 1000L").alias("k")) for name, m in levels.items()])
     state = part.groupBy("scope", "key").agg(F.sum(F.element_at("c", -1)).alias("n")).select("scope", "key", "n", F.inline(ranks))
     state = cut(state.select("*", F.lit(_LOW).alias("lo"), F.lit(_HIGH).alias("hi"), F.lit(None).cast("bigint").alias("at")))
