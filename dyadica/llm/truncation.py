@@ -64,6 +64,11 @@ def _plain(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"\p{N}+([.,:]\p{N}+)*", "0")
 
 
+def _between(piece: Column) -> Column:
+    """What parts a token from the next, if it is more than a blank: a colon, or the end of a sentence."""
+    return F.when(piece.rlike(r":\s*$"), F.lit(":")).when(piece.rlike(r"(?U)[.!?…]\P{L}*$") & ~piece.rlike(r"(?U)^\p{L}\."), F.lit(""))
+
+
 def tails(docs: DataFrame) -> DataFrame:
     """Each text with content, what is left of it without marks put after its end, and the marks found."""
     d = docs.select("doc_id", "source", "text").where("text IS NOT NULL").withColumn("t", _strip(F.regexp_replace(_strip(F.col("text")), "(?Um)" + _PAGE, ""))).where("t != ''")
@@ -91,21 +96,25 @@ def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
 
 def pairs(docs: DataFrame) -> DataFrame:
     """prev, tok, n, ends, inner: neighbouring words of the corpus, how often seen, how often a sentence ends after
-    them, and how often they stand within a text. ``prev`` is empty at the start of a text."""
-    pieces = F.regexp_extract_all(F.col("t"), F.lit(f"(?U){_TOKEN}[^\\p{{L}}\\p{{M}}\\p{{N}}]*"), F.lit(0))
-    d = docs.select(pieces.alias("a")).where("size(a) > 0")
+    them, and how often they stand within a text. ``prev`` is empty at the start of a sentence, a colon after one."""
+    d = docs.select(F.regexp_extract_all(F.col("t"), F.lit(f"(?U){_TOKEN}[^\\p{{L}}\\p{{M}}\\p{{N}}]*"), F.lit(0)).alias("a")).where("size(a) > 0")
     toks = F.transform("a", lambda x: _plain(F.regexp_extract(x, "(?U)^" + _TOKEN, 0)))
     ends = F.transform("a", lambda x, i: (i == F.size("a") - 1) | x.rlike("(?U)^" + _TOKEN + r"[\"'”’»)\]]*\s*([.!?…]|[–—](\s|$)|-\s|\))"))
-    d = d.select(toks.alias("toks"), ends.alias("ends"))
-    at = F.transform("toks", lambda w, i: F.struct(F.coalesce(F.get("toks", i - 1), F.lit("")).alias("prev"), w.alias("tok"), F.get("ends", i).cast("int").alias("e"), (i < F.size("toks") - 1).cast("int").alias("inner")))
+    d = d.select(toks.alias("toks"), ends.alias("ends"), F.transform("a", _between).alias("gap"))
+    prev = lambda i: F.coalesce(F.get("gap", i - 1), F.get("toks", i - 1), F.lit(""))
+    at = F.transform("toks", lambda w, i: F.struct(prev(i).alias("prev"), w.alias("tok"), F.get("ends", i).cast("int").alias("e"), (i < F.size("toks") - 1).cast("int").alias("inner")))
     return d.select(F.inline(at)).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("ends"), F.sum("inner").alias("inner"))
 
 
+def _prefixes(word: str) -> Column:
+    """A row for each proper prefix of a word of two letters or more, up to forty."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(word) - 1, F.lit(40))), lambda i: F.substring(word, F.lit(1), i)))
+
+
 def trie(words: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     """prefix, mass: the nodes of the trie of known words, with the times that longer words below each were seen."""
     known = words.where((F.col("inner") >= rules.known) & (F.length("tok") > 1) & (F.col("tok") != "0"))
-    cut = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("tok") - 1, F.lit(40))), lambda i: F.substring("tok", F.lit(1), i)))
-    return known.select(cut.alias("tok"), "inner").groupBy("tok").agg(F.sum("inner").alias("mass"))
+    return known.select(_prefixes("tok").alias("tok"), "inner").groupBy("tok").agg(F.sum("inner").alias("mass"))
 
 
 def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
@@ -116,7 +125,9 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     """
     whole = tails(docs)
     candidate = whole.where(~(F.col("t").rlike("(?U)" + _END) & ~F.col("marked") & ~F.col("broken")))
-    last2 = F.regexp_extract_all(F.regexp_extract("t", rf"(?U)({_TOKEN}[^\p{{L}}\p{{M}}\p{{N}}]*){{1,2}}$", 0), F.lit("(?U)" + _TOKEN), F.lit(0))
+    last2 = F.regexp_extract_all(F.regexp_extract("t", rf"(?U)({_TOKEN}[^\p{{L}}\p{{M}}\p{{N}}]*){{1,2}}$", 0), F.lit(rf"(?U){_TOKEN}[^\p{{L}}\p{{M}}\p{{N}}]*"), F.lit(0))
+    before, final = F.get(F.reverse(last2), F.lit(1)), F.get(F.reverse(last2), F.lit(0))
+    token = lambda x: _plain(F.regexp_extract(x, "(?U)^" + _TOKEN, 0))
     tail = F.substring("t", -400, 400)
     inside = lambda o, c: F.instr(F.reverse(tail), o) > 0 if not c else (F.instr(F.reverse(tail), o) > 0) & ((F.instr(F.reverse(tail), c) == 0) | (F.instr(F.reverse(tail), o) < F.instr(F.reverse(tail), c)))
     opened = inside("(", ")") | inside("[", "]") | inside("“", "”") & ~F.col("t").contains("„") | inside("«", "»") | inside("„", "“")
@@ -124,27 +135,31 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
         candidate.select(
             "doc_id", "source", "marked", "broken",
             F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-            _plain(F.get(F.reverse(last2), F.lit(1))).alias("prev"), _plain(F.get(F.reverse(last2), F.lit(0))).alias("tok"),
+            F.coalesce(_between(before), token(before), F.lit("")).alias("prev"), token(final).alias("tok"),
             F.col("t").rlike("(?U)" + _DASH).alias("dash"),
             F.col("t").rlike(_END).alias("ended"),
             F.col("t").rlike(r"(?U)[,;:’'‘(\[«“„/&-]$").alias("hanging"),
             F.col("t").rlike(r"(?U)[)\]”»]$").alias("closed"),
             opened.alias("inside"),
-        ).withColumn("prev", F.coalesce("prev", F.lit("")))
+        )
     )
     seen = stored(pairs(whole))
     words = seen.groupBy("tok").agg(*[F.sum(x).alias(x) for x in ("n", "ends", "inner")])
     keys = c.select("prev", "tok").distinct()
-    verdict = (
-        keys.join(seen.select("prev", "tok", F.col("n").alias("n2"), F.col("ends").alias("ends2")), ["prev", "tok"], "left")
+    known = (
+        keys.join(seen.select("prev", "tok", F.col("n").alias("n2"), F.col("ends").alias("ends2"), F.col("inner").alias("inner2")), ["prev", "tok"], "left")
         .join(words, "tok", "left")
         .join(trie(words, rules), "tok", "left")
-        .select(
-            "prev", "tok",
-            (F.coalesce("mass", F.lit(0)) >= rules.below * F.greatest(F.coalesce("inner", F.lit(0)), F.lit(0.02))).alias("prefix"),
-            F.when(F.col("n2") >= rules.support, F.col("ends2") <= rules.ends * F.col("n2")).otherwise((F.col("n") >= rules.support) & (F.col("ends") <= rules.ends * F.col("n"))).alias("never"),
-        )
-    )
+        .withColumn("prefix", F.coalesce("mass", F.lit(0)) >= rules.below * F.greatest(F.coalesce("inner", F.lit(0)), F.lit(0.02)))
+    )
+    # the same trie below the word before: what longer words it is seen to go on to
+    nodes = seen.where((F.col("inner") > 0) & (F.length("tok") > 1)).select("prev", _prefixes("tok").alias("tok"), "inner")
+    nodes = nodes.join(keys, ["prev", "tok"], "left_semi").groupBy("prev", "tok").agg(F.sum("inner").alias("mass2"))
+    known = known.join(nodes, ["prev", "tok"], "left").fillna(0, ["n2", "inner2", "mass2"])
+    prefix = (F.col("prefix") & ((F.col("n2") < 3) | (F.col("mass2") > 0))) | ((F.col("inner2") == 0) & (F.col("mass2") >= 5) & ((F.col("n2") < 3) | (F.col("mass2") >= rules.below * F.col("n2"))))
+    alone = (F.col("n") >= rules.support) & (F.col("ends") <= rules.ends * F.col("n"))
+    never = F.when(F.col("n2") >= rules.support, F.col("ends2") <= rules.ends * F.col("n2")).when(F.col("inner2") >= 1, alone).when((F.col("n2") < 3) & (F.col("prev") != ":"), alone).otherwise(False)
+    verdict = known.select("prev", "tok", prefix.alias("prefix"), never.alias("never"))
     c = lookup_join(c, verdict, ["prev", "tok"])
     cuts = F.broadcast(limits(docs, rules).groupBy("source").agg(F.collect_list(F.struct("unit", "size")).alias("cuts")))
     c = c.join(cuts, c["source"].eqNullSafe(cuts["source"]), "left").drop(cuts["source"])
