@@ -51,31 +51,48 @@ _BYTES = "[\\ufffd]+$"
 #: Ends of a sentence, with what may close after it.
 _END = r"[.!?。؟][\s\"'”’»›“)\]\}*]*$"
 _DASH = r"(^|\s)(–|—|--?)$"
-_TOKEN = r"[\p{L}\p{M}\p{N}]+(?:[.,:]\p{N}+)*"
-_SPACE = r"[\s​‌‍⁠﻿­]+$"
+#: Blank and invisible characters that may trail a text.
+_BLANK = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\xad"
+#: The part of a text, from its end, in which marks are looked for.
+TAIL = 600
+#: Tokens are runs of these; everything else parts them.
+_IN, _OUT = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]"
+#: Signs put between tokens for the end of a sentence and for a colon.
+_STOP, _COLON = "\x01", "\x02"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)" + _SPACE, "")
+    return F.rtrim(c, F.lit(_BLANK))
 
 
-def _plain(token: Column) -> Column:
-    """Tokens as they are counted: lower case, every number alike."""
-    return F.regexp_replace(F.lower(token), r"\p{N}+([.,:]\p{N}+)*", "0")
+def _tokens(text: Column) -> Column:
+    """The tokens of a text in lower case, every number alike, with signs where a sentence ends or a colon stands.
+
+    All of it is done by passes over the whole text; nothing is matched token by token.
+    """
+    t = F.regexp_replace(F.lower(F.regexp_replace(text, "[\x01\x02]", " ")), r"\p{N}+([.,:]\p{N}+)*", "0")
+    t = F.regexp_replace(t, rf"(?U)(?<={_IN})[\"'”’»)\]]*\s*(?:[.!?…]|[–—](?:\s|$)|-\s|\)){_OUT}*", f" {_STOP} ")
+    t = F.regexp_replace(t, rf"(?U)(?<={_IN})[^\p{{L}}\p{{M}}\p{{N}}{_STOP}]*:\s*(?={_IN})", f" {_COLON} ")
+    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_STOP}{_COLON}]+", " ")
+    return F.filter(F.split(t, " "), lambda x: x != "")
 
 
-def _between(piece: Column) -> Column:
-    """What parts a token from the next, if it is more than a blank: a colon, or the end of a sentence."""
-    return F.when(piece.rlike(r":\s*$"), F.lit(":")).when(piece.rlike(r"(?U)[.!?…]\P{L}*$") & ~piece.rlike(r"(?U)^\p{L}\."), F.lit(""))
+def _prev(a: Column, i: Column) -> Column:
+    """What stands before token ``i``: a token, nothing at the start of a sentence, or a colon. A letter with a stop is a token."""
+    one, two = F.get(a, i - 1), F.get(a, i - 2)
+    return F.when(one.isNull(), "").when(one == _STOP, F.when(F.length(two) == 1, two).otherwise("")).when(one == _COLON, ":").otherwise(one)
 
 
 def tails(docs: DataFrame) -> DataFrame:
     """Each text with content, what is left of it without marks put after its end, and the marks found."""
-    d = docs.select("doc_id", "source", "text").where("text IS NOT NULL").withColumn("t", _strip(F.regexp_replace(_strip(F.col("text")), "(?Um)" + _PAGE, ""))).where("t != ''")
-    d = d.withColumn("broken", F.col("t").rlike("(?U)" + _BROKEN) | F.col("t").rlike(_BYTES))
-    d = d.withColumn("t", _strip(F.regexp_replace(F.regexp_replace("t", _BYTES, ""), "(?U)" + _BROKEN, "")))
-    d = d.withColumn("marked", F.col("t").rlike("(?U)" + _MARK)).withColumn("t", F.when(F.col("marked"), _strip(F.regexp_replace("t", "(?U)" + _MARK, ""))).otherwise(F.col("t")))
-    return d
+    d = docs.select("doc_id", "source", "text").where("text IS NOT NULL").withColumn("t", _strip(F.col("text"))).where("t != ''")
+    d = d.withColumn("z", F.substring("t", -TAIL, TAIL)).withColumn("head", F.expr(f"left(t, greatest(char_length(t) - {TAIL}, 0))"))
+    d = d.withColumn("z", _strip(F.regexp_replace("z", "(?Um)" + _PAGE, "")))
+    d = d.withColumn("broken", F.col("z").rlike("(?U)" + _BROKEN) | F.col("z").rlike(_BYTES))
+    d = d.withColumn("z", F.when(F.col("broken"), _strip(F.regexp_replace(F.regexp_replace("z", _BYTES, ""), "(?U)" + _BROKEN, ""))).otherwise(F.col("z")))
+    d = d.withColumn("marked", F.col("z").rlike("(?U)" + _MARK))
+    d = d.withColumn("z", F.when(F.col("marked"), _strip(F.regexp_replace("z", "(?U)" + _MARK, ""))).otherwise(F.col("z")))
+    return d.withColumn("t", F.concat("head", "z")).where("z != '' OR head != ''").drop("head")
 
 
 def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
@@ -97,13 +114,9 @@ def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
 def pairs(docs: DataFrame) -> DataFrame:
     """prev, tok, n, ends, inner: neighbouring words of the corpus, how often seen, how often a sentence ends after
     them, and how often they stand within a text. ``prev`` is empty at the start of a sentence, a colon after one."""
-    d = docs.select(F.regexp_extract_all(F.col("t"), F.lit(f"(?U){_TOKEN}[^\\p{{L}}\\p{{M}}\\p{{N}}]*"), F.lit(0)).alias("a")).where("size(a) > 0")
-    toks = F.transform("a", lambda x: _plain(F.regexp_extract(x, "(?U)^" + _TOKEN, 0)))
-    ends = F.transform("a", lambda x, i: (i == F.size("a") - 1) | x.rlike("(?U)^" + _TOKEN + r"[\"'”’»)\]]*\s*([.!?…]|[–—](\s|$)|-\s|\))"))
-    d = d.select(toks.alias("toks"), ends.alias("ends"), F.transform("a", _between).alias("gap"))
-    prev = lambda i: F.coalesce(F.get("gap", i - 1), F.get("toks", i - 1), F.lit(""))
-    at = F.transform("toks", lambda w, i: F.struct(prev(i).alias("prev"), w.alias("tok"), F.get("ends", i).cast("int").alias("e"), (i < F.size("toks") - 1).cast("int").alias("inner")))
-    return d.select(F.inline(at)).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("ends"), F.sum("inner").alias("inner"))
+    at = F.transform("a", lambda w, i: F.struct(_prev(F.col("a"), i).alias("prev"), w.alias("tok"), F.coalesce(F.get("a", i + 1), F.lit(_STOP)).alias("next"), (i < F.size("a") - 1).alias("more")))
+    d = docs.select(_tokens(F.col("t")).alias("a")).select(F.inline(at)).where(~F.col("tok").isin(_STOP, _COLON))
+    return d.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("next") == _STOP).cast("int")).alias("ends"), F.sum(F.col("more").cast("int")).alias("inner"))
 
 
 def _prefixes(word: str) -> Column:
@@ -124,22 +137,20 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     are cases each. A null source has its own limits. An empty table gives an empty table.
     """
     whole = tails(docs)
-    candidate = whole.where(~(F.col("t").rlike("(?U)" + _END) & ~F.col("marked") & ~F.col("broken")))
-    last2 = F.regexp_extract_all(F.regexp_extract("t", rf"(?U)({_TOKEN}[^\p{{L}}\p{{M}}\p{{N}}]*){{1,2}}$", 0), F.lit(rf"(?U){_TOKEN}[^\p{{L}}\p{{M}}\p{{N}}]*"), F.lit(0))
-    before, final = F.get(F.reverse(last2), F.lit(1)), F.get(F.reverse(last2), F.lit(0))
-    token = lambda x: _plain(F.regexp_extract(x, "(?U)^" + _TOKEN, 0))
-    tail = F.substring("t", -400, 400)
-    inside = lambda o, c: F.instr(F.reverse(tail), o) > 0 if not c else (F.instr(F.reverse(tail), o) > 0) & ((F.instr(F.reverse(tail), c) == 0) | (F.instr(F.reverse(tail), o) < F.instr(F.reverse(tail), c)))
-    opened = inside("(", ")") | inside("[", "]") | inside("“", "”") & ~F.col("t").contains("„") | inside("«", "»") | inside("„", "“")
+    candidate = whole.where(~(F.col("z").rlike("(?U)" + _END) & ~F.col("marked") & ~F.col("broken"))).withColumn("a", _tokens(F.substring("z", -400, 400)))
+    # the last token and what is before it; signs after the last token are passed over
+    candidate = candidate.withColumn("a", F.when(F.try_element_at("a", F.lit(-1)).isin(_STOP, _COLON), F.slice("a", 1, F.size("a") - 1)).otherwise(F.col("a")))
+    inside = lambda o, c: (F.instr(F.reverse("z"), o) > 0) & ((F.instr(F.reverse("z"), c) == 0) | (F.instr(F.reverse("z"), o) < F.instr(F.reverse("z"), c)))
+    opened = inside("(", ")") | inside("[", "]") | inside("“", "”") & ~F.col("z").contains("„") | inside("«", "»") | inside("„", "“")
     c = stored(
         candidate.select(
             "doc_id", "source", "marked", "broken",
             F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-            F.coalesce(_between(before), token(before), F.lit("")).alias("prev"), token(final).alias("tok"),
-            F.col("t").rlike("(?U)" + _DASH).alias("dash"),
-            F.col("t").rlike(_END).alias("ended"),
-            F.col("t").rlike(r"(?U)[,;:’'‘(\[«“„/&-]$").alias("hanging"),
-            F.col("t").rlike(r"(?U)[)\]”»]$").alias("closed"),
+            _prev(F.col("a"), F.size("a") - 1).alias("prev"), F.when(F.size("a") > 0, F.get("a", F.size("a") - 1)).alias("tok"),
+            F.col("z").rlike("(?U)" + _DASH).alias("dash"),
+            F.col("z").rlike(_END).alias("ended"),
+            F.col("z").rlike(r"(?U)[,;:’'‘(\[«“„/&-]$").alias("hanging"),
+            F.col("z").rlike(r"(?U)[)\]”»]$").alias("closed"),
             opened.alias("inside"),
         )
     )
