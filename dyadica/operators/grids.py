@@ -129,7 +129,8 @@ def owner(points: DataFrame, cuts: list[list[int]]) -> DataFrame:
     """``part``: the block, column-major, that each point lies in."""
     part, step = F.lit(0), 1
     for d, c in enumerate(cuts):
-        k = F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in c]), lambda x, d=d: x <= F.get("idx", F.lit(d)))) - 1
+        i = F.get("idx", F.lit(d))
+        k = sum(((i >= x).cast("int") for x in c), F.lit(0)) - 1
         part, step = part + k * step, step * len(c)
     return points.withColumn("part", part.cast("int"))
 

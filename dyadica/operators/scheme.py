@@ -142,9 +142,13 @@ def partitioned_dof(levels: DataFrame, reference: list[int], cuts: list[list[int
 def conjoint_set(scheme: DataFrame, lmin: list[int]) -> DataFrame:
     """Subspaces that must be shared with another system: seen from fewer than ``dim`` downward poles of the active front, closed downward."""
     dim = len(lmin)
-    poles = F.flatten(
-        F.array(*[F.when(F.get("level", F.lit(d)) > lmin[d], F.transform(F.sequence(F.lit(lmin[d]), F.greatest(F.get("level", F.lit(d)) - 1, F.lit(lmin[d]))), lambda x, d=d: F.transform("level", lambda l, j: F.when(j == d, x).otherwise(l)))).otherwise(F.array().cast("array<array<int>>")) for d in range(dim)])
-    )
+
+    def pole(d: int) -> Column:
+        own, least = F.get("level", F.lit(d)), F.lit(lmin[d])
+        moved = lambda x: F.transform("level", lambda l, j: F.when(j == d, x).otherwise(l))
+        return F.when(own > least, F.transform(F.sequence(least, F.greatest(own - 1, least)), moved)).otherwise(F.array().cast("array<array<int>>"))
+
+    poles = F.flatten(F.array(*[pole(d) for d in range(dim)]))
     seen = scheme.where(F.abs(F.col("coeff") - 1) < 1e-9).select(F.explode(poles).alias("level")).groupBy("level").count()
     return down_set(seen.where(F.col("count") < dim))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dyadica.plans import problems
+from dyadica.plans import problems, reference
 
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+QUERIES = reference.QUERIES | problems.QUERIES
+ORACLE = reference.ORACLE | problems.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p2_found"](spark, d)
+    return QUERIES["combine_sparse"](spark, d)
