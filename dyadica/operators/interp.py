@@ -106,3 +106,29 @@ def moments(values: DataFrame, points: DataFrame, dim: int) -> DataFrame:
     for c in x:
         prod = prod * c
     return j.agg(F.avg("value").alias("mass"), *[F.avg(c * F.col("value")).alias(f"momentum_{d}") for d, c in enumerate(x)], F.avg(prod * F.col("value")).alias("momentum_all"))
+
+
+def stretched(coords, source: int, target: int):
+    """Coordinates on a grid of level ``source`` in dimension 0 whose box is a = 2^(source - target) times as long, about the middle: (x - b) / a, b = (1 - a) / 2."""
+    a = 2.0 ** (source - target)
+    b = 0.5 - 0.5 * a
+    return F.transform(coords, lambda x, d: F.when(d == 0, (x - b) / a).otherwise(x))
+
+
+def added_onto(target: DataFrame, grid: DataFrame, tasks: DataFrame, level: list[int], dim: int, coeff: float = 1.0, stretch_from: int | None = None) -> DataFrame:
+    """``target`` (field_id, idx, value on a grid of ``level``) plus ``coeff`` times each of ``grid``'s fields, evaluated there.
+
+    With ``stretch_from`` the evaluated grid is of that level in dimension 0 and is stretched before; outside it counts 0.
+    """
+    from dyadica.operators.grids import indices
+
+    spark = grid.sparkSession
+    dst = indices(spark.range(1).select(L.vec(level).alias("level")), dim)
+    n = F.transform("level", lambda l: L.points_1d(l, 2))
+    coords = L.coordinates(F.col("idx"), F.col("level"))
+    if stretch_from is not None:
+        coords = stretched(coords, stretch_from, level[0])
+    at = dst.select(L.linear_index(F.col("idx"), n).alias("pt_id"), coords.alias("coords"))
+    sizes = F.array(*[F.lit((1 << t) + 1).cast("bigint") for t in level])
+    extra = at_points(grid, tasks, at, dim).groupBy("field_id", "pt_id").agg(F.sum("value").alias("_v")).select("field_id", L.vector_index(F.col("pt_id"), sizes).alias("idx"), "_v")
+    return target.join(extra, ["field_id", "idx"], "full").withColumn("value", F.coalesce("value", F.lit(0.0)) + coeff * F.coalesce("_v", F.lit(0.0))).drop("_v")

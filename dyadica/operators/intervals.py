@@ -23,11 +23,12 @@ def _heads(df: DataFrame, keys: list[str], start: str, end: str, floor: int) ->
     the first), and ``_reach``, the end of all up to it; the names of the keys, and of the unit that is one task's."""
     named = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
-    rows = rows.where(all_of([F.col(c).isNotNull() for c in [*named, "_s", "_e"]]) & (F.col("_e") > F.col("_s")))
+    rows = rows.where(all_of([F.col(c).isNotNull() for c in [*named, "_s", "_e"]]) & (F.col("_e") > F.col("_s")) & F.try_subtract("_e", "_s").isNotNull())
     rows, hot = with_blocks(rows, named, "_s", floor=floor, counted=df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)]))
     unit = [*named, "_blk"] if hot else named
     length = F.col("_e") - F.col("_s")
-    lasting = F.make_interval(hours=F.floor(length / F.lit(HOUR_US)).cast("int"), secs=(length % HOUR_US).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)"))
+    hours = F.expr(f"(_e - _s) div {HOUR_US}")  # in two halves, since an interval takes hours as an int
+    lasting = F.make_interval(hours=F.shiftright(hours, 1).cast("int")) + F.make_interval(hours=(hours - F.shiftright(hours, 1)).cast("int"), secs=(length % HOUR_US).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)"))
     merged = (
         rows.select(*unit, F.timestamp_micros("_s").alias("_t"), lasting.alias("_d"))
         .groupBy(*unit, F.session_window("_t", F.col("_d")).alias("_w"))
@@ -46,8 +47,8 @@ def _heads(df: DataFrame, keys: list[str], start: str, end: str, floor: int) ->
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, *, names: tuple[str, str] = ("gap_start", "gap_end"), floor: int = FLOOR) -> DataFrame:
     """The maximal uncovered stretches between the first and last covered time of each entity.
 
-    Rows with a null key, start or end, or whose end is not after the start, cover nothing.
-    An interval covers its start and not its end, so touching intervals leave no gap; repeated
+    Rows with a null key, start or end, or whose end is not after the start, cover nothing; nor do
+    rows whose length doesn't fit a bigint. An interval covers its start and not its end, so touching intervals leave no gap; repeated
     rows change nothing; an entity with one period, and an empty table, give no row. Other
     columns of ``df`` are not looked at.
     """

@@ -11,6 +11,7 @@ by ranges, and stuck values by runs, apart from the matrix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,11 @@ class SpikeRules:
     latest: float = 1e9
 
 
-def robust_components(m: np.ndarray, rank: int, candidate: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+#: Rows of a source that are judged at once, and rows of its neighbourhood that are looked at with them.
+STRETCH, OVERLAP = 1 << 16, 1 << 10
+
+
+def robust_components(m: np.ndarray, rank: int, candidate: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Split ``m`` into a low-rank part and a sparse part by alternating projections.
 
     The sparse part takes the entries farther from the low-rank part than ``candidate`` times the
@@ -49,19 +54,20 @@ def robust_components(m: np.ndarray, rank: int, candidate: float, rounds: int =
     eigenvectors of the small Gram matrix. Starts from the rows' medians, which spikes can't move.
     """
     low = np.repeat(np.median(m, axis=1, keepdims=True), m.shape[1], axis=1)
-    kept = None
+    kept, moved = None, np.inf
     for _ in range(rounds):
         r = m - low
         scale = 1.4826 * np.median(np.abs(r)) + 1e-12
         out = np.abs(r) > candidate * scale
-        if kept is not None and (out == kept).all():
+        if kept is not None and (out == kept).all() and moved < 0.1 * scale:
             break
         kept = out
         filled = np.where(out, low, m)
         mean = filled.mean(axis=0)
         c = filled - mean
         vec = np.linalg.eigh(c.T @ c)[1][:, -rank:]
-        low = c @ vec @ vec.T + mean
+        new = c @ vec @ vec.T + mean
+        moved, low = np.abs(new - low).max(), new
     return low, np.where(kept, m - low, 0.0)
 
 
@@ -103,6 +109,15 @@ def _beyond(y: np.ndarray, usable: np.ndarray, reach: int) -> np.ndarray:
     return np.nan_to_num(d)
 
 
+def _last_known(x: np.ndarray) -> np.ndarray:
+    """nan replaced by the value before it, or, at the start, by the first there is; -1 if there is none."""
+    has = np.flatnonzero(~np.isnan(x))
+    if not len(has):
+        return np.full(len(x), -1.0)
+    at = np.searchsorted(has, np.arange(len(x)), "right") - 1
+    return x[has[np.maximum(at, 0)]]
+
+
 def spikes_of(duration: np.ndarray, setting: np.ndarray, rules: SpikeRules = SpikeRules()) -> np.ndarray:
     """Which of one source's positive ``duration`` readings, in order, are spikes.
 
@@ -114,8 +129,7 @@ def spikes_of(duration: np.ndarray, setting: np.ndarray, rules: SpikeRules = Spi
     if n < 5:
         return found
     y = np.log(duration)
-    s = pd.Series(setting)
-    before, after = s.ffill().bfill().fillna(-1).to_numpy(), s.bfill().ffill().fillna(-1).to_numpy()
+    before, after = _last_known(setting), _last_known(setting[::-1])[::-1]
     level, far = np.zeros(n), np.full(n, np.inf)
     for side in (before, after):
         for v in np.unique(side):
@@ -156,8 +170,8 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules(), *, source: str
     """One row per implausible reading: ``reading`` and the flags ``impossible``, ``spike``, ``stuck``.
 
     Rows with equal ``reading`` are one; rows without it can't be named and are left out. A missing
-    value or stage is no case; a reading without a stage is placed by its number among the others of
-    its source. A reading without a source is tested for its range alone. Not-a-number and infinite
+    value or stage is no case; a reading without a stage is placed after the last one before it, by number, that
+    has one. A reading without a source is tested for its range alone. Not-a-number and infinite
     stages are impossible. Ties of the stage are ordered by ``reading``. Other columns are ignored.
 
     A source with more than ``floor`` rows (see ``skew``) is cut into blocks by its stage; each block has the
@@ -173,31 +187,60 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules(), *, source: str
     st_bad = F.isnan("st") | (F.col("st") <= 0) | (F.col("st") > rules.latest)
     one = one.withColumn("bad", F.coalesce(v_bad, F.lit(False)) | F.coalesce(st_bad, F.lit(False)))
     one = one.withColumn("st", F.when(~F.coalesce(st_bad, F.lit(True)), F.col("st")))
-    blocked, hot = with_blocks(one.where("src IS NOT NULL"), ["src"], "st", floor=floor, counted=df.select(F.col(source).cast("bigint").alias("src")))
+    counted = df.select(F.col(source).cast("bigint").alias("src"))
+    named, hot = with_blocks(one.where("src IS NOT NULL"), ["src"], "id", "_ib", floor, counted)
+    by_id = Window.partitionBy("src", "_ib").orderBy("id")
+    before = F.last("st", ignorenulls=True).over(by_id.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("st", ignorenulls=True).over(by_id.rowsBetween(0, Window.unboundedFollowing))
+    named = named.withColumn("place", F.coalesce(before, after, F.lit(0.0))).drop("_ib")
+    blocked, hot = with_blocks(named, ["src"], "place", floor=floor, counted=counted) if hot else (named.withColumn("_blk", F.lit(0)), False)
     blocked = blocked.withColumn("halo", F.lit(False))
     if hot:
         near = max(rules.run - 1, rules.reach)
         usable = blocked.where("st IS NOT NULL AND v IS NOT NULL AND NOT bad")
         w = Window.partitionBy("src", "_blk")
-        ranked = usable.withColumn("_a", F.row_number().over(w.orderBy("st", "id"))).withColumn("_z", F.row_number().over(w.orderBy(F.desc("st"), F.desc("id"))))
+        ranked = usable.withColumn("_a", F.row_number().over(w.orderBy("place", "id"))).withColumn("_z", F.row_number().over(w.orderBy(F.desc("place"), F.desc("id"))))
         lower = ranked.where(F.col("_a") <= near).withColumn("_blk", F.col("_blk") - 1)
         upper = ranked.where(F.col("_z") <= near).withColumn("_blk", F.col("_blk") + 1)
         blocked = blocked.unionByName(lower.unionByName(upper).select(*blocked.columns).withColumn("halo", F.lit(True)))
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        place = pdf["st"].interpolate(limit_direction="both").fillna(0.0)
-        pdf = pdf.assign(place=place).sort_values(["place", "id"], kind="stable")
-        bad, v, halo = pdf["bad"].to_numpy(bool), pdf["v"], pdf["halo"].to_numpy(bool)
-        has = v.notna().to_numpy() & ~((v.fillna(1) <= 0) | (v.fillna(1) > rules.longest_us)).to_numpy()
-        spike, stuck = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
-        at = np.flatnonzero(has)
-        spike[at] = spikes_of(v.to_numpy(float, na_value=np.nan)[at], pdf["se"].to_numpy(float)[at], rules)
-        at = np.flatnonzero(has & ~bad & pdf["st"].notna().to_numpy())
-        stuck[at] = stuck_of(v.to_numpy(float, na_value=np.nan)[at], rules.run)
-        out = pd.DataFrame({"id": pdf["id"].to_numpy(np.int64), "impossible": bad, "spike": spike, "stuck": stuck})
-        return out[(bad | spike | stuck) & ~halo]
-
-    found = blocked.select("id", "src", "_blk", "v", "st", "se", "bad", "halo").groupBy("src", "_blk").applyInPandas(kernel, "id bigint, impossible boolean, spike boolean, stuck boolean")
+    def flags(g: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
+        """The implausible ones of rows ``first`` to ``last`` of a stretch of one source, which is in order."""
+        bad = g["bad"].to_numpy(bool)
+        v, st, se = (g[c].to_numpy(float, na_value=np.nan) for c in ("v", "st", "se"))
+        spike, stuck = np.zeros(len(g), bool), np.zeros(len(g), bool)
+        at = np.flatnonzero((v > 0) & (v <= rules.longest_us))
+        spike[at] = spikes_of(v[at], se[at], rules)
+        at = np.flatnonzero(~np.isnan(v) & ~bad & ~np.isnan(st))
+        stuck[at] = stuck_of(v[at], rules.run)
+        hit = (bad | spike | stuck) & ~g["halo"].to_numpy(bool)
+        hit[:first], hit[last:] = False, False
+        return pd.DataFrame({"id": g["id"].to_numpy()[hit], "impossible": bad[hit], "spike": spike[hit], "stuck": stuck[hit]})
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sources come one after the other. What a batch ends with waits for the next, for it may go on; of a long
+        source, stretches are done as they come, with OVERLAP rows of what is before and after, so memory is bounded."""
+        rest, done = None, 0
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            src, blk = b["src"].to_numpy(), b["_blk"].to_numpy()
+            ends = np.flatnonzero((src[1:] != src[:-1]) | (blk[1:] != blk[:-1])) + 1
+            begin = 0
+            out = []
+            for end in ends:
+                out.append(flags(b.iloc[begin:end], done, end - begin))
+                begin, done = end, 0
+            rest = b.iloc[begin:]
+            while len(rest) > done + STRETCH + OVERLAP:
+                out.append(flags(rest.iloc[: done + STRETCH + OVERLAP], done, done + STRETCH))
+                kept = max(0, done + STRETCH - OVERLAP)
+                rest, done = rest.iloc[kept:], done + STRETCH - kept
+            if out:
+                yield pd.concat(out)
+        if rest is not None and len(rest):
+            yield flags(rest, done, len(rest))
+
+    by_source = blocked.select("id", "src", "_blk", "v", "st", "se", "bad", "halo", "place").repartition("src", "_blk").sortWithinPartitions("src", "_blk", "place", "id")
+    found = by_source.mapInPandas(kernel, "id bigint, impossible boolean, spike boolean, stuck boolean")
     alone = one.where("src IS NULL AND bad").select("id", "bad", F.lit(False).alias("spike"), F.lit(False).alias("stuck")).toDF("id", "impossible", "spike", "stuck")
     return found.unionByName(alone).withColumnRenamed("id", reading)
