@@ -16,6 +16,7 @@ A text that ends on a dash was interrupted, not truncated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,11 @@ _IN, _OUT = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]"
 _STOP, _COLON = "\x01", "\x02"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _strip(c: Column) -> Column:
     return F.rtrim(c, F.lit(_BLANK))
 
@@ -85,14 +91,22 @@ def _prev(a: Column, i: Column) -> Column:
 
 def tails(docs: DataFrame) -> DataFrame:
     """Each text with content, what is left of it without marks put after its end, and the marks found."""
-    d = docs.select("doc_id", "source", "text").where("text IS NOT NULL").withColumn("t", _strip(F.col("text"))).where("t != ''")
-    d = d.withColumn("z", F.substring("t", -TAIL, TAIL)).withColumn("head", F.expr(f"left(t, greatest(char_length(t) - {TAIL}, 0))"))
-    d = d.withColumn("z", _strip(F.regexp_replace("z", "(?Um)" + _PAGE, "")))
-    d = d.withColumn("broken", F.col("z").rlike("(?U)" + _BROKEN) | F.col("z").rlike(_BYTES))
-    d = d.withColumn("z", F.when(F.col("broken"), _strip(F.regexp_replace(F.regexp_replace("z", _BYTES, ""), "(?U)" + _BROKEN, ""))).otherwise(F.col("z")))
-    d = d.withColumn("marked", F.col("z").rlike("(?U)" + _MARK))
-    d = d.withColumn("z", F.when(F.col("marked"), _strip(F.regexp_replace("z", "(?U)" + _MARK, ""))).otherwise(F.col("z")))
-    return d.withColumn("t", F.concat("head", "z")).where("z != '' OR head != ''").drop("head")
+
+    def cleaned(t: Column) -> Column:
+        head = F.left(t, F.greatest(F.length(t) - TAIL, F.lit(0)))
+        return _let(_strip(F.regexp_replace(F.right(t, F.lit(TAIL)), "(?Um)" + _PAGE, "")), lambda z: unbroken(head, z))
+
+    def unbroken(head: Column, z: Column) -> Column:
+        whole = _strip(F.regexp_replace(F.regexp_replace(z, _BYTES, ""), "(?U)" + _BROKEN, ""))
+        return _let(z.rlike("(?U)" + _BROKEN) | z.rlike(_BYTES), lambda broken: _let(F.when(broken, whole).otherwise(z), lambda y: unmarked(head, y, broken)))
+
+    def unmarked(head: Column, z: Column, broken: Column) -> Column:
+        whole = _strip(F.regexp_replace(z, "(?U)" + _MARK, ""))
+        return _let(z.rlike("(?U)" + _MARK), lambda marked: _let(F.when(marked, whole).otherwise(z), lambda y: F.struct(F.concat(head, y).alias("t"), y.alias("z"), broken.alias("broken"), marked.alias("marked"))))
+
+    # a generator evaluates the chain once a row, where a projection would be copied into every filter on it
+    d = docs.where("text IS NOT NULL").select("doc_id", "source", "text", F.inline(F.array(_let(_strip(F.col("text")), cleaned))))
+    return d.where("t != ''")
 
 
 def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
