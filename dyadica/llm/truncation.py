@@ -183,7 +183,7 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     known = known.join(nodes, ["prev", "tok"], "left").fillna(0, ["n2", "inner2", "mass2"])
     prefix = (F.col("prefix") & ((F.col("n2") < 3) | (F.col("mass2") > 0))) | ((F.col("inner2") == 0) & (F.col("mass2") >= 5) & ((F.col("n2") < 3) | (F.col("mass2") >= rules.below * F.col("n2"))))
     alone = (F.col("n") >= rules.support) & (F.col("ends") <= rules.ends * F.col("n"))
-    never = F.when(F.col("n2") >= rules.support, F.col("ends2") <= rules.ends * F.col("n2")).when(F.col("inner2") >= 1, alone).when((F.col("n2") < 3) & (F.col("prev") != ":"), alone).otherwise(False)
+    never = F.when(F.col("n2") >= rules.support, F.col("ends2") <= rules.ends * F.col("n2")).when(F.col("inner2") >= 1, alone).when((F.col("n2") < 3) & ~F.col("prev").isin("", ":"), alone).otherwise(False)
     verdict = known.select("prev", "tok", prefix.alias("prefix"), never.alias("never"))
     c = lookup_join(c, verdict, ["prev", "tok"])
     cuts = F.broadcast(limits(docs, rules).groupBy("source").agg(F.collect_list(F.struct("unit", "size")).alias("cuts")))
