@@ -112,8 +112,7 @@ def tails(docs: DataFrame) -> DataFrame:
 def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     """source, unit (``chars`` or ``bytes``), size: the lengths at which a source's texts pile up.
 
-    A length is a limit if so many different texts have it as chance does not allow from the lengths around it. Of the
-    two units, the one with more texts at the length explains it.
+    A length is a limit if so many different texts have it as chance does not allow from the lengths around it.
     """
     sizes = F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))
     rows = docs.where("text IS NOT NULL").select("source", F.xxhash64("text").alias("h"), F.inline(sizes)).where(F.col("size") >= rules.least)
@@ -121,8 +120,10 @@ def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     around = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-rules.near, rules.near)
     counts = counts.withColumn("rate", (F.sum("n").over(around) - F.col("n")) / (2.0 * rules.near))
     piled = counts.where((F.col("n") >= 5) & (F.col("n") > 4 * F.col("rate") + 6 * F.sqrt("rate") + 3))
-    best = Window.partitionBy("source", "size").orderBy(F.desc("n"), F.desc("unit"))
-    return piled.withColumn("r", F.row_number().over(best)).where("r = 1").select("source", "unit", "size", "n")
+    # a limit in one unit makes smaller piles in the other: a pile stands if most of its texts are in no larger one
+    hits = rows.distinct().alias("a").join(piled.select("source", "unit", "size", "n").alias("b"), F.expr("a.source <=> b.source AND a.unit = b.unit AND a.size = b.size")).select("a.*", "n")
+    own = hits.withColumn("own", (F.col("n") == F.max("n").over(Window.partitionBy("source", "h"))).cast("int"))
+    return own.groupBy("source", "unit", "size").agg(F.max("n").alias("n"), F.avg("own").alias("own")).where("own >= 0.5").drop("own")
 
 
 def pairs(docs: DataFrame) -> DataFrame:
