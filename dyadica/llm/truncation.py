@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dyadica.operators.skew import lookup_join
-from dyadica.session import stored
+from dyadica.session import cut, stored
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,13 @@ class CutRules:
     """known: times a word must occur within texts to be one. below: how many times more often its
     continuations must occur than a token itself for it to count as unknown. support: times that words
     must occur for their share of sentence ends to be judged. ends: the share up to which they never
-    end a sentence. least: shortest limit looked for. near: lengths on either side that a limit is held against."""
+    end a sentence; of the texts that stop after words without a full stop, as many as spared are taken for truncated,
+    if the text in question has full stops at all (titles and captions have none). least: shortest limit looked for. near: lengths on either side that a limit is held against."""
 
     known: int = 3
     below: int = 50
     support: int = 8
+    spared: int = 2
     ends: float = 0.02
     least: int = 150
     near: int = 30
@@ -62,6 +64,9 @@ _IN, _OUT = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]"
 _STOP, _COLON = "\x01", "\x02"
 
 
+TRIPLE, SUMS = ["prev2", "prev", "tok"], ["n", "ends", "last", "inner"]
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -77,7 +82,7 @@ def _tokens(text: Column) -> Column:
     All of it is done by passes over the whole text; nothing is matched token by token.
     """
     t = F.regexp_replace(F.lower(F.regexp_replace(text, "[\x01\x02]", " ")), r"\p{N}+([.,:]\p{N}+)*", "0")
-    t = F.regexp_replace(t, rf"(?U)(?<={_IN})[\"'”’»)\]]*\s*(?:[.!?…]|[–—](?:\s|$)|-\s|\)){_OUT}*", f" {_STOP} ")
+    t = F.regexp_replace(t, rf"(?U)(?<={_IN})[\"'”’»)\]]*\s*(?:[.!?…]|[–—](?:\s|$)|-\s|(?<=\p{{L}})\)){_OUT}*", f" {_STOP} ")
     t = F.regexp_replace(t, rf"(?U)(?<={_IN})[^\p{{L}}\p{{M}}\p{{N}}{_STOP}]*:\s*(?={_IN})", f" {_COLON} ")
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_STOP}{_COLON}]+", " ")
     return F.filter(F.split(t, " "), lambda x: x != "")
@@ -126,12 +131,21 @@ def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     return own.groupBy("source", "unit", "size").agg(F.max("n").alias("n"), F.avg("own").alias("own")).where("own >= 0.5").drop("own")
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """prev, tok, n, ends, inner: neighbouring words of the corpus, how often seen, how often a sentence ends after
-    them, and how often they stand within a text. ``prev`` is empty at the start of a sentence, a colon after one."""
-    at = F.transform("a", lambda w, i: F.struct(_prev(F.col("a"), i).alias("prev"), w.alias("tok"), F.coalesce(F.get("a", i + 1), F.lit(_STOP)).alias("next"), (i < F.size("a") - 1).alias("more")))
+def _never(rules: CutRules, spared: int) -> Column:
+    """Whether words never end a sentence, judged by the widest context seen often enough; ``spared`` of the texts that
+    stop there are taken for truncated ones."""
+    seldom = lambda k: F.col(f"ends{k}") + F.greatest(F.col(f"last{k}") - spared, F.lit(0)) <= rules.ends * F.col(f"n{k}")
+    alone = (F.col("n1") >= rules.support) & seldom(1)
+    narrow = F.when(F.col("n2") >= rules.support, seldom(2)).when(F.col("inner2") >= 1, alone).when((F.col("n2") < 3) & ~F.col("prev").isin("", ":"), alone).otherwise(False)
+    return F.when(F.col("n3") >= rules.support, seldom(3)).otherwise(narrow)
+
+
+def triples(docs: DataFrame) -> DataFrame:
+    """prev2, prev, tok, n, ends, last, inner: neighbouring words of the corpus, how often seen, how often a sentence ends
+    after them, how often a text stops there without a sentence's end, and how often they stand within a text. What comes before is empty at the start of a sentence, a colon after one."""
+    at = F.transform("a", lambda w, i: F.struct(_prev(F.col("a"), i - 1).alias("prev2"), _prev(F.col("a"), i).alias("prev"), w.alias("tok"), F.get("a", i + 1).alias("next"), (i < F.size("a") - 1).alias("more")))
     d = docs.select(_tokens(F.col("t")).alias("a")).select(F.inline(at)).where(~F.col("tok").isin(_STOP, _COLON))
-    return d.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("next") == _STOP).cast("int")).alias("ends"), F.sum(F.col("more").cast("int")).alias("inner"))
+    return d.groupBy("prev2", "prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("next") == _STOP, F.lit(False)).cast("int")).alias("ends"), F.sum(F.col("next").isNull().cast("int")).alias("last"), F.sum(F.col("more").cast("int")).alias("inner"))
 
 
 def _prefixes(word: str) -> Column:
@@ -161,32 +175,31 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
         candidate.select(
             "doc_id", "source", "marked", "broken",
             F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-            _prev(F.col("a"), F.size("a") - 1).alias("prev"), F.when(F.size("a") > 0, F.get("a", F.size("a") - 1)).alias("tok"),
+            _prev(F.col("a"), F.size("a") - 2).alias("prev2"), _prev(F.col("a"), F.size("a") - 1).alias("prev"), F.when(F.size("a") > 0, F.get("a", F.size("a") - 1)).alias("tok"),
             F.col("z").rlike("(?U)" + _DASH).alias("dash"),
             F.col("z").rlike(_END).alias("ended"),
             F.col("z").rlike(r"(?U)[,;:’'‘(\[«“„/&-]$").alias("hanging"),
             F.col("z").rlike(r"(?U)[)\]”»]$").alias("closed"),
             opened.alias("inside"),
+            F.array_contains("a", _STOP).alias("stops"),
         )
     )
-    seen = stored(pairs(whole))
-    words = seen.groupBy("tok").agg(*[F.sum(x).alias(x) for x in ("n", "ends", "inner")])
+    three = stored(triples(whole))
+    seen = cut(three.groupBy("prev", "tok").agg(*[F.sum(x).alias(x) for x in SUMS]))
+    words = seen.groupBy("tok").agg(*[F.sum(x).alias(x) for x in SUMS])
+    of = lambda df, key, k: df.select(*key, *[F.col(x).alias(f"{x}{k}") for x in SUMS])
     keys = c.select("prev", "tok").distinct()
-    known = (
-        keys.join(seen.select("prev", "tok", F.col("n").alias("n2"), F.col("ends").alias("ends2"), F.col("inner").alias("inner2")), ["prev", "tok"], "left")
-        .join(words, "tok", "left")
-        .join(trie(words, rules), "tok", "left")
-        .withColumn("prefix", F.coalesce("mass", F.lit(0)) >= rules.below * F.greatest(F.coalesce("inner", F.lit(0)), F.lit(0.02)))
-    )
-    # the same trie below the word before: what longer words it is seen to go on to
+    # the trie below single words, and the same below the word before: what longer words it is seen to go on to
     nodes = seen.where((F.col("inner") > 0) & (F.length("tok") > 1)).select("prev", _prefixes("tok").alias("tok"), "inner")
     nodes = nodes.join(keys, ["prev", "tok"], "left_semi").groupBy("prev", "tok").agg(F.sum("inner").alias("mass2"))
-    known = known.join(nodes, ["prev", "tok"], "left").fillna(0, ["n2", "inner2", "mass2"])
-    prefix = (F.col("prefix") & ((F.col("n2") < 3) | (F.col("mass2") > 0))) | ((F.col("inner2") == 0) & (F.col("mass2") >= 5) & ((F.col("n2") < 3) | (F.col("mass2") >= rules.below * F.col("n2"))))
-    alone = (F.col("n") >= rules.support) & (F.col("ends") <= rules.ends * F.col("n"))
-    never = F.when(F.col("n2") >= rules.support, F.col("ends2") <= rules.ends * F.col("n2")).when(F.col("inner2") >= 1, alone).when((F.col("n2") < 3) & ~F.col("prev").isin("", ":"), alone).otherwise(False)
-    verdict = known.select("prev", "tok", prefix.alias("prefix"), never.alias("never"))
-    c = lookup_join(c, verdict, ["prev", "tok"])
+    known = keys.join(of(seen, ["prev", "tok"], 2), ["prev", "tok"], "left").join(of(words, ["tok"], 1), "tok", "left").join(trie(words, rules), "tok", "left").join(nodes, ["prev", "tok"], "left")
+    known = c.select(*TRIPLE).distinct().join(known, ["prev", "tok"], "left").join(of(three, TRIPLE, 3), TRIPLE, "left").fillna(0)
+    unknown = F.col("mass") >= rules.below * F.greatest(F.col("inner1"), F.lit(0.02))
+    # a pair that stops several texts and is never seen to go on to a longer word is a word of its own
+    below = (F.col("inner2") == 0) & (F.col("mass2") >= 5) & ((F.col("n2") < 3) | (F.col("mass2") >= rules.below * F.col("n2")))
+    prefix = (unknown & ((F.col("n2") < 3) | (F.col("mass2") > 0))) | below
+    verdict = known.select(*TRIPLE, prefix.alias("prefix"), _never(rules, rules.spared).alias("never"), _never(rules, 0).alias("never0"))
+    c = lookup_join(c, verdict, TRIPLE)
     cuts = F.broadcast(limits(docs, rules).groupBy("source").agg(F.collect_list(F.struct("unit", "size")).alias("cuts")))
     c = c.join(cuts, c["source"].eqNullSafe(cuts["source"]), "left").drop(cuts["source"])
     at_limit = F.coalesce(F.exists("cuts", lambda x: F.when(x["unit"] == "chars", F.col("chars").between(x["size"] - 1, x["size"])).otherwise(F.col("bytes").between(x["size"] - 3, x["size"]))), F.lit(False))
@@ -197,7 +210,7 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
         "doc_id", "source",
         (word & ~sound & F.coalesce("prefix", F.lit(False))).alias("prefix"),
         limit.alias("limit"),
-        (word & ~sound & F.coalesce("never", F.lit(False))).alias("unfinished"),
+        (word & ~sound & F.coalesce(F.when(F.col("stops"), F.col("never")).otherwise(F.col("never0")), F.lit(False))).alias("unfinished"),
         (F.col("broken") | (~F.col("dash") & ~F.col("ended") & (F.col("hanging") | F.col("inside")))).alias("open"),
     )
     return out.where("prefix OR limit OR unfinished OR open")
