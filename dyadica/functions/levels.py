@@ -54,7 +54,7 @@ def parse(text: Column) -> Column:
 
 def pow2(n: Column) -> Column:
     """2^n as a bigint, for n from 0 to 62."""
-    return F.pow(F.lit(2.0), n).cast(LONG)
+    return F.call_function("shiftleft", F.lit(1).cast(LONG), n.cast(INT))
 
 
 def points_1d(level: Column, boundary: int) -> Column:

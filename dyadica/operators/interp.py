@@ -11,7 +11,7 @@ from dyadica.functions import levels as L
 
 
 def corners(points: DataFrame, tasks: DataFrame, dim: int, boundary: int = 2, extrapolate: bool = False) -> DataFrame:
-    """pt_id, task_id, idx, weight: the corners around each point on each grid, those of weight 0 left out.
+    """pt_id, task_id, need, idx, weight: the corners around each point on each grid, those of weight 0 left out, and their number.
 
     A point outside [0, 1] has one corner of weight 0 and a null index. Boundary 1 wraps to the first point; without
     a boundary, corners beyond the grid count as 0, or, with ``extrapolate``, the outer cell goes on.
@@ -41,7 +41,7 @@ def corners(points: DataFrame, tasks: DataFrame, dim: int, boundary: int = 2, ex
         out.append(F.struct(F.array(*idx).alias("idx"), weight.alias("weight")))
     none = F.array(F.struct(F.lit(None).cast("array<bigint>").alias("idx"), F.lit(0.0).alias("weight")))
     picked = F.when(F.col("inside"), F.filter(F.array(*out), lambda c: c["weight"] != 0)).otherwise(none)
-    return df.select("pt_id", "task_id", F.inline(picked))
+    return df.select("pt_id", "task_id", picked.alias("picked")).select("pt_id", "task_id", F.size(F.filter("picked", lambda c: c["idx"].isNotNull())).alias("need"), F.inline("picked"))
 
 
 def at_points(grid: DataFrame, tasks: DataFrame, points: DataFrame, dim: int, boundary: int = 2, extrapolate: bool = False) -> DataFrame:
@@ -50,19 +50,12 @@ def at_points(grid: DataFrame, tasks: DataFrame, points: DataFrame, dim: int, bo
     0 outside [0, 1]; null if a corner that counts has no value. ``grid`` must be clean; a point without
     coordinates is left out.
     """
-    around = corners(points, tasks, dim, boundary, extrapolate)
     fields = grid.select("task_id", "field_id").distinct()
-    zero = around.where("idx IS NULL").join(fields, "task_id").select("pt_id", "task_id", "field_id", F.lit(0.0).alias("value"))
-    need = around.where("idx IS NOT NULL")
-    got = need.join(grid.select("task_id", "field_id", "idx", "value"), ["task_id", "idx"]).groupBy("pt_id", "task_id", "field_id")
-    got = got.agg(F.sum(F.col("weight") * F.col("value")).alias("v"), F.count("value").alias("n"))
-    count = need.groupBy("pt_id", "task_id").agg(F.count(F.lit(1)).alias("need"))
-    whole = count.join(fields, "task_id").join(got, ["pt_id", "task_id", "field_id"], "left")
-    if boundary == 0:
-        inner = whole.select("pt_id", "task_id", "field_id", F.coalesce("v", F.lit(0.0)).alias("value"))
-    else:
-        inner = whole.select("pt_id", "task_id", "field_id", F.when(F.col("n") == F.col("need"), F.col("v")).alias("value"))
-    return inner.unionByName(zero)
+    around = corners(points, tasks, dim, boundary, extrapolate).join(fields, "task_id")
+    met = around.join(grid.select("task_id", "field_id", "idx", "value"), ["task_id", "field_id", "idx"], "left").groupBy("pt_id", "task_id", "field_id")
+    sums = met.agg(F.sum(F.col("weight") * F.col("value")).alias("v"), F.count("value").alias("n"), F.max("need").alias("need"))
+    value = F.coalesce("v", F.lit(0.0)) if boundary == 0 else F.when(F.col("n") == F.col("need"), F.col("v"))
+    return sums.select("pt_id", "task_id", "field_id", F.when(F.col("need") == 0, 0.0).otherwise(value).alias("value"))
 
 
 def combined(values: DataFrame, scheme: DataFrame, by: list[str] | None = None) -> DataFrame:

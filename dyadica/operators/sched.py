@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dyadica.functions import levels as L
+from dyadica.operators.skew import numbered
 
 
 def linear_load(level: Column) -> Column:
@@ -51,7 +52,7 @@ def averages(stats: DataFrame) -> DataFrame:
 
 def dispatch_order(loads: DataFrame) -> DataFrame:
     """The order in which tasks are handed to free groups: heaviest first, ties by id."""
-    return loads.withColumn("place", F.row_number().over(Window.orderBy(F.desc("load"), "task_id")))
+    return numbered(loads, [F.desc("load"), "task_id"], "place", 1)
 
 
 def rebalance(tasks: Sequence[tuple[int, int, float]], rounds: int = 10, threshold: float = 0.1, average_per_task: bool = False) -> list[tuple[int, int, int]]:

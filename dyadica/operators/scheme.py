@@ -13,9 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from dyadica.functions import levels as L
+from dyadica.operators.skew import numbered
 
 SCHEME = T.StructType([T.StructField("level", T.ArrayType(T.IntegerType(), False)), T.StructField("coeff", T.DoubleType())])
 
@@ -192,11 +192,10 @@ def split(scheme: DataFrame, fractions: list[float], order: str = "task_id") ->
         raise ValueError("the fractions must add up to 1")
     n = scheme.count()
     ends = [math.floor(n * sum(fractions[: i + 1]) + 0.5) for i in range(len(fractions))]
-    k = F.row_number().over(Window.orderBy(order)) - 1
     which = F.lit(len(ends) - 1)
     for i in range(len(ends) - 1, -1, -1):
         which = F.when(F.col("_k") < ends[i], i).otherwise(which)
-    return scheme.withColumn("_k", k).withColumn("system", which.cast("int")).drop("_k")
+    return numbered(scheme, [order], "_k").withColumn("system", which.cast("int")).drop("_k")
 
 
 # Active sets: the front grids that a scheme is spanned by. They are small and made on the driver.
@@ -282,5 +281,5 @@ def objective(weights: DataFrame) -> DataFrame:
 
 def assigned_by_size(scheme: DataFrame, groups: int) -> DataFrame:
     """``group`` by turns through the grids in the order of their level sums."""
-    k = F.row_number().over(Window.orderBy(L.total(F.col("level")), "level")) - 1
-    return scheme.withColumn("group", (k % groups).cast("int"))
+    order = [L.total(F.col("level")), *(["task_id"] if "task_id" in scheme.columns else []), "level"]
+    return numbered(scheme, order, "_k").withColumn("group", (F.col("_k") % groups).cast("int")).drop("_k")

@@ -85,5 +85,23 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], floor: int =
     return a.unionByName(b)
 
 
+def numbered(df: DataFrame, order: list, out: str, start: int = 0) -> DataFrame:
+    """``out``: the place of each row in the order of all, without sorting all rows in one task.
+
+    Rows are range partitioned and sorted, written, and counted by partition; each row's place is that in its
+    partition plus the rows of the partitions before. ``order`` must be without ties for the numbers to be unique.
+    """
+    from dyadica.session import stored
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    at, before = start, []
+    for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():  # one row per partition
+        before.append((r["_part"], at))
+        at += r["n"]
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before bigint")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

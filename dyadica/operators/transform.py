@@ -89,7 +89,8 @@ def along(points: DataFrame, dim: int, basis: str = "hat", *, forward: bool = Tr
         done = done.withColumn("w", F.slice("w", 2, F.size("w") - 2))
     elif boundary == 1:
         done = done.withColumn("w", F.slice("w", 1, F.size("w") - 1))
-    out = done.select("task_id", "field_id", "level", "rest", F.posexplode("w").alias("i", "value"))
+    # outer, for else the kernel is evaluated once more in a filter on the array's size
+    out = done.select("task_id", "field_id", "level", "rest", F.posexplode_outer("w").alias("i", "value"))
     idx = F.concat(F.slice("rest", 1, dim) if dim else F.array().cast("array<bigint>"), F.array(F.col("i").cast("bigint")), F.slice("rest", dim + 1, 64))
     return out.select("task_id", "field_id", idx.alias("idx"), "value", "level")
 

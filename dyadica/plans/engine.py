@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from dyadica.functions import levels as L
 from dyadica.operators import combine, grids, interp, norms, scheme, transform
-from dyadica.session import cut
+from dyadica.operators.skew import numbered
+from dyadica.session import cut, stored
 from dyadica.sources import io
 from dyadica.sources.io import CombiConfig
 
@@ -34,9 +35,7 @@ class Engine:
         self.step = 0
         base = scheme_df if scheme_df is not None else scheme.from_json(spark, config.scheme) if config.scheme else scheme.classical(spark, config.lmin, config.lmax)
         if "task_id" not in base.columns:
-            from pyspark.sql.window import Window
-
-            base = base.withColumn("task_id", (F.row_number().over(Window.orderBy("level")) - 1).cast("bigint"))
+            base = numbered(base, ["level"], "task_id")
         self.scheme = cut(base)
         self.bases = config.bases or [transform.default_basis(b) for b in config.boundary]
         self.events: list[tuple[int, int, str, int, int]] = []
@@ -98,22 +97,25 @@ class Engine:
     def _keyed(self) -> DataFrame:
         return combine.keyed(self._hierarchical().join(self.scheme.select("task_id", "coeff"), "task_id").withColumn("top", L.vec(self.top)))
 
-    def sparse(self) -> DataFrame:
-        """The combined hierarchical values: what is exchanged with other systems."""
-        keyed = self._keyed()
+    def _gathered(self, keyed: DataFrame) -> DataFrame:
         if self.config.reduce_lmax:
             keyed = combine.below(keyed, combine.reduced_top(self.config.lmin, self.top, self.config.reduce_lmax))
         return combine.gather(keyed)
 
+    def sparse(self) -> DataFrame:
+        """The combined hierarchical values: what is exchanged with other systems."""
+        return self._gathered(self._keyed())
+
     def combine(self, *others: DataFrame) -> None:
         """Combine all grids, with the sparse grids of other systems if there are any, and write the result back to them."""
         if 0 in self.config.boundary:
             raise ValueError("keys are defined for grids with boundary points")
         with self.timed("combine"):
-            sg = self.sparse()
+            keyed = stored(self._keyed())
+            sg = self._gathered(keyed)
             if others:
                 sg = combine.summed(sg, *others)
-            back = combine.scatter(self._keyed(), sg)
+            back = combine.scatter(keyed, sg)
             self.points = cut(self._nodal(back.select(*grids.POINT, "value", "level")))
 
     # -- evaluation

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from dyadica.functions import levels as L
 from dyadica.functions.levels import round9
 from dyadica.operators import combine, faults, grids, interp, norms, sched, scheme, solvers, stats, transform
+from dyadica.session import stored
 from dyadica.sources import io
 from dyadica.sources.tables import table
 
@@ -172,11 +173,9 @@ def level_algebra(spark: SparkSession, d: str) -> DataFrame:
     return grids.tasks_of(table(spark, d, "scheme")).select("task_id", L.total(l).alias("total"), L.leq(l, three).alias("below"), L.total(L.add(l, one)).alias("raised_total"), F.size(L.parse(text)).alias("parsed"))
 
 
-@query(_S + ' SELECT task_id, CAST((row_number() OVER (ORDER BY list_sum(level), level, task_id) - 1) % 3 AS INTEGER) AS "group" FROM tasks')
+@query(_S + ' SELECT task_id, CAST((row_number() OVER (ORDER BY list_sum(level), task_id) - 1) % 3 AS INTEGER) AS "group" FROM tasks')
 def assign_by_size(spark: SparkSession, d: str) -> DataFrame:
-    t = grids.tasks_of(table(spark, d, "scheme"))
-    k = F.row_number().over(Window.orderBy(L.total(F.col("level")), "level", "task_id")) - 1
-    return t.select("task_id", (k % 3).cast("int").alias("group"))
+    return scheme.assigned_by_size(grids.tasks_of(table(spark, d, "scheme")), 3).select("task_id", "group")
 
 
 @query(
@@ -511,7 +510,7 @@ _BACK = _SG + ", g AS (SELECT keyed.* REPLACE (coalesce(sg.value, keyed.value) A
 @query(_BACK + f" SELECT scheme_id, task_id, field_id, i0, i1, {R('value')} AS value FROM g")
 def combine_scatter(spark: SparkSession, d: str) -> DataFrame:
     """The combined hierarchical values scattered back to the grids."""
-    k = keyed(spark, d)
+    k = stored(keyed(spark, d))  # it is gathered from and scattered to
     return combine.scatter(k, combine.gather(k, BY), BY).select("scheme_id", "task_id", "field_id", *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
 
 
