@@ -127,7 +127,7 @@ def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     piled = counts.where((F.col("n") >= 5) & (F.col("n") > 4 * F.col("rate") + 6 * F.sqrt("rate") + 3))
     # a limit in one unit makes smaller piles in the other: a pile stands if most of its texts are in no larger one
     hits = rows.distinct().alias("a").join(piled.select("source", "unit", "size", "n").alias("b"), F.expr("a.source <=> b.source AND a.unit = b.unit AND a.size = b.size")).select("a.*", "n")
-    own = hits.withColumn("own", (F.col("n") == F.max("n").over(Window.partitionBy("source", "h"))).cast("int"))
+    own = hits.withColumn("own", (F.row_number().over(Window.partitionBy("source", "h").orderBy(F.desc("n"), F.desc("unit"))) == 1).cast("int"))
     return own.groupBy("source", "unit", "size").agg(F.max("n").alias("n"), F.avg("own").alias("own")).where("own >= 0.5").drop("own")
 
 
