@@ -82,16 +82,21 @@ def _tokens(text: Column) -> Column:
     All of it is done by passes over the whole text; nothing is matched token by token.
     """
     t = F.regexp_replace(F.lower(F.regexp_replace(text, "[\x01\x02]", " ")), r"\p{N}+([.,:]\p{N}+)*", "0")
-    t = F.regexp_replace(t, rf"(?U)(?<={_IN})[\"'”’»)\]]*\s*(?:[.!?…]|[–—](?:\s|$)|-\s|(?<=\p{{L}})\)){_OUT}*", f" {_STOP} ")
+    t = F.regexp_replace(t, rf"(?U)(?<={_IN}{_IN})[\"'”’»)\]]*\s*(?:[.!?…]|[–—](?:\s|$)|-\s|(?<=\p{{L}})\)){_OUT}*", f" {_STOP} ")
     t = F.regexp_replace(t, rf"(?U)(?<={_IN})[^\p{{L}}\p{{M}}\p{{N}}{_STOP}]*:\s*(?={_IN})", f" {_COLON} ")
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_STOP}{_COLON}]+", " ")
     return F.filter(F.split(t, " "), lambda x: x != "")
 
 
-def _prev(a: Column, i: Column) -> Column:
-    """What stands before token ``i``: a token, nothing at the start of a sentence, or a colon. A letter with a stop is a token."""
-    one, two = F.get(a, i - 1), F.get(a, i - 2)
-    return F.when(one.isNull(), "").when(one == _STOP, F.when(F.length(two) == 1, two).otherwise("")).when(one == _COLON, ":").otherwise(one)
+def _contexts(a: str) -> Column:
+    """Each token with the two before it and the sign or token after it: arrays side by side, without a function per token."""
+    before = F.transform(a, lambda x: F.when(x == _STOP, "").when(x == _COLON, ":").otherwise(x))
+    none = F.array(F.lit(""))
+    n = F.size(a)
+    two = F.slice(F.concat(none, none, before), F.lit(1), n)
+    one = F.slice(F.concat(none, before), F.lit(1), n)
+    after = F.slice(a, F.lit(2), n)
+    return F.arrays_zip(two.alias("prev2"), one.alias("prev"), F.col(a).alias("tok"), after.alias("next"))
 
 
 def tails(docs: DataFrame) -> DataFrame:
@@ -143,9 +148,9 @@ def _never(rules: CutRules, spared: int) -> Column:
 def triples(docs: DataFrame) -> DataFrame:
     """prev2, prev, tok, n, ends, last, inner: neighbouring words of the corpus, how often seen, how often a sentence ends
     after them, how often a text stops there without a sentence's end, and how often they stand within a text. What comes before is empty at the start of a sentence, a colon after one."""
-    at = F.transform("a", lambda w, i: F.struct(_prev(F.col("a"), i - 1).alias("prev2"), _prev(F.col("a"), i).alias("prev"), w.alias("tok"), F.get("a", i + 1).alias("next"), (i < F.size("a") - 1).alias("more")))
-    d = docs.select(_tokens(F.col("t")).alias("a")).select(F.inline(at)).where(~F.col("tok").isin(_STOP, _COLON))
-    return d.groupBy("prev2", "prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("next") == _STOP, F.lit(False)).cast("int")).alias("ends"), F.sum(F.col("next").isNull().cast("int")).alias("last"), F.sum(F.col("more").cast("int")).alias("inner"))
+    d = docs.select(_tokens(F.col("t")).alias("a")).select(F.inline(_contexts("a"))).where(~F.col("tok").isin(_STOP, _COLON))
+    stops, last = F.coalesce(F.col("next") == _STOP, F.lit(False)), F.col("next").isNull()
+    return d.groupBy("prev2", "prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum(stops.cast("int")).alias("ends"), F.sum(last.cast("int")).alias("last"), F.sum((~last).cast("int")).alias("inner"))
 
 
 def _prefixes(word: str) -> Column:
@@ -169,13 +174,14 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     candidate = whole.where(~(F.col("z").rlike("(?U)" + _END) & ~F.col("marked") & ~F.col("broken"))).withColumn("a", _tokens(F.substring("z", -400, 400)))
     # the last token and what is before it; signs after the last token are passed over
     candidate = candidate.withColumn("a", F.when(F.try_element_at("a", F.lit(-1)).isin(_STOP, _COLON), F.slice("a", 1, F.size("a") - 1)).otherwise(F.col("a")))
+    candidate = candidate.withColumn("end", F.try_element_at(_contexts("a"), F.lit(-1)))
     inside = lambda o, c: (F.instr(F.reverse("z"), o) > 0) & ((F.instr(F.reverse("z"), c) == 0) | (F.instr(F.reverse("z"), o) < F.instr(F.reverse("z"), c)))
     opened = inside("(", ")") | inside("[", "]") | inside("“", "”") & ~F.col("z").contains("„") | inside("«", "»") | inside("„", "“")
     c = stored(
         candidate.select(
             "doc_id", "source", "marked", "broken",
             F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-            _prev(F.col("a"), F.size("a") - 2).alias("prev2"), _prev(F.col("a"), F.size("a") - 1).alias("prev"), F.when(F.size("a") > 0, F.get("a", F.size("a") - 1)).alias("tok"),
+            F.col("end.prev2").alias("prev2"), F.col("end.prev").alias("prev"), F.col("end.tok").alias("tok"),
             F.col("z").rlike("(?U)" + _DASH).alias("dash"),
             F.col("z").rlike(_END).alias("ended"),
             F.col("z").rlike(r"(?U)[,;:’'‘(\[«“„/&-]$").alias("hanging"),
