@@ -9,7 +9,7 @@ The percentiles are found by a distributed multi-select over the summaries. In e
 day's summary proposes the median of what is still in the running for a group and a rank; the
 median of the proposals, weighted by the rows behind them, becomes the pivot; all summaries count
 below, at and above it; and the ranges that the counts rule out are dropped. A round drops at least a quarter of
-what is left, and touches only the ranks that are not yet found. The rank of percentile ``p`` among ``n`` is
+what is left, and touches only the ranks that are not yet found; a few entries that are left of a key are put side by side. The rank of percentile ``p`` among ``n`` is
 ``ceil(p * n)``, the smallest value with at least that share at or below it.
 """
 
@@ -25,6 +25,8 @@ from dyadica.session import cut, stored
 ERROR = 1 / 1024
 #: The percentiles by the name of their column, per mille to keep ranks exact.
 LEVELS = {"p50": 500, "p90": 900, "p95": 950, "p99": 990, "p999": 999}
+#: Entries of summaries that are left of a key when its rank is looked up among them, rather than in another round.
+FEW = 64
 _LOW, _HIGH = -(1 << 40), 1 << 40
 
 
@@ -62,7 +64,8 @@ def summaries(values: DataFrame) -> DataFrame:
         F.struct(F.lit("group").alias("scope"), F.when(F.col("group_no") != -1, F.col("group_no")).cast("bigint").alias("key")),
         F.struct(F.lit("task").alias("scope"), F.col("task_id").cast("bigint").alias("key")),
     )
-    rows = values.select(F.inline(F.filter(scopes, lambda s: s["key"].isNotNull())), "day", bucket("duration_us").alias("bucket"))
+    once = values.select("group_no", "task_id", "day", bucket("duration_us").alias("bucket"))
+    rows = once.select(F.inline(F.filter(scopes, lambda s: s["key"].isNotNull())), "day", "bucket")
     return rows.groupBy("scope", "key", "day", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -74,6 +77,21 @@ def merged(*parts: DataFrame) -> DataFrame:
     return out.groupBy("scope", "key", "day", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _sliced(part: DataFrame, state: DataFrame) -> DataFrame:
+    """Each day's summary with what is in the running: entries i0 to i1, and ``base``, the rows before them."""
+    here = part.join(state, ["scope", "key"]).select("*", F.expr("size(filter(b, x -> x <= lo))").alias("i0"), F.expr("size(filter(b, x -> x < hi))").alias("i1"))
+    return here.withColumn("base", F.expr("coalesce(get(c, i0 - 1), 0L)"))
+
+
+def _picked(part: DataFrame, state: DataFrame) -> DataFrame:
+    """The rank among the ``FEW`` entries that are left of a key, put side by side."""
+    entry = F.expr("transform(slice(b, i0 + 1, greatest(i1 - i0, 0)), (x, j) -> struct(x AS b, get(c, i0 + j) - coalesce(get(c, i0 + j - 1), 0L) AS n))")
+    rest = _sliced(part, state.drop("at", "left")).select("scope", "key", "n", "q", "k", "base", entry.alias("e"))
+    rest = rest.groupBy("scope", "key", "n", "q", "k").agg(F.sum("base").alias("before"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    at = F.expr("aggregate(e, struct(before AS upto, CAST(NULL AS BIGINT) AS at), (acc, x) -> struct(acc.upto + x.n AS upto, coalesce(acc.at, CASE WHEN acc.upto + x.n >= k THEN x.b END) AS at)).at")
+    return rest.select("scope", "key", "n", "q", at.alias("at"))
+
+
 def select_ranks(summary: DataFrame, levels: dict[str, int] | None = None) -> DataFrame:
     """scope, key, n and a column per level: the percentiles of all days of each key.
 
@@ -85,31 +103,36 @@ def select_ranks(summary: DataFrame, levels: dict[str, int] | None = None) -> Da
     part = summary.withColumn("upto", upto).groupBy("scope", "key", "day").agg(pair.alias("x"))
     part = stored(part.select("scope", "key", F.col("x.bucket").alias("b"), F.col("x.upto").alias("c")))
     ranks = F.array(*[F.struct(F.lit(name).alias("q"), F.expr(f"(n * {m}L + 999L) div 1000L").alias("k")) for name, m in levels.items()])
-    state = part.groupBy("scope", "key").agg(F.sum(F.element_at("c", -1)).alias("n")).select("scope", "key", "n", F.inline(ranks))
+    state = part.groupBy("scope", "key").agg(F.sum(F.element_at("c", -1)).alias("n"), F.sum(F.size("b").cast("bigint")).alias("left")).select("scope", "key", "n", F.inline(ranks), "left")
     state = cut(state.select("*", F.lit(_LOW).alias("lo"), F.lit(_HIGH).alias("hi"), F.lit(None).cast("bigint").alias("at")))
-    done = state.where("false")
-    while not state.isEmpty():
-        open_ = state.drop("at")
+    few = F.col("left") <= FEW
+    ended, open_ = [state.where(few)], state.where(~few)
+    while not open_.isEmpty():
         # the slice of a day's buckets strictly between lo and hi, and the rows before it
-        here = part.join(open_, ["scope", "key"]).select("*", F.expr("size(filter(b, x -> x <= lo))").alias("i0"), F.expr("size(filter(b, x -> x < hi))").alias("i1")).where("i1 > i0")
-        here = here.select("scope", "key", "q", "b", "c", "i0", "i1", F.expr("coalesce(get(c, i0 - 1), 0L)").alias("base")).withColumn("w", F.expr("get(c, i1 - 1) - base"))
+        here = _sliced(part, open_.drop("at", "left")).where("i1 > i0").withColumn("w", F.expr("get(c, i1 - 1) - base"))
         own = here.select("scope", "key", "q", "w", F.expr("get(b, i0 + size(filter(slice(c, i0 + 1, i1 - i0), x -> 2 * (x - base) < w)))").alias("m"))
         pivots = own.groupBy("scope", "key", "q").agg(F.floor(F.percentile("m", F.lit(0.5), F.col("w"))).cast("bigint").alias("p"))
+        both = open_.drop("at", "left").join(pivots, ["scope", "key", "q"])
         counts = (
-            part.join(pivots, ["scope", "key"])
-            .select("scope", "key", "q", "p", F.expr("coalesce(get(c, size(filter(b, x -> x < p)) - 1), 0L)").alias("less"), F.expr("coalesce(get(c, size(filter(b, x -> x <= p)) - 1), 0L)").alias("upto"))
-            .groupBy("scope", "key", "q")
-            .agg(F.first("p").alias("p"), F.sum("less").alias("less"), F.sum("upto").alias("upto"))
+            part.join(both, ["scope", "key"])
+            .select(*both.columns, "c", F.expr("size(filter(b, x -> x < p))").alias("u"), F.expr("size(filter(b, x -> x <= p))").alias("v"), F.expr("size(filter(b, x -> x <= lo))").alias("i0"), F.expr("size(filter(b, x -> x < hi))").alias("i1"))
+            .groupBy(*both.columns)
+            .agg(F.expr("sum(coalesce(get(c, u - 1), 0L))").alias("less"), F.expr("sum(coalesce(get(c, v - 1), 0L))").alias("upto"), F.expr("sum(u - i0)").alias("under"), F.expr("sum(i1 - v)").alias("over"))
         )
-        new = open_.join(counts, ["scope", "key", "q"]).select(
+        new = counts.select(
             "scope", "key", "n", "q", "k",
+            F.expr("CASE WHEN k > upto THEN over ELSE under END").alias("left"),
             F.expr("CASE WHEN k > upto THEN p ELSE lo END").alias("lo"),
             F.expr("CASE WHEN k <= less THEN p ELSE hi END").alias("hi"),
             F.expr("CASE WHEN k > less AND k <= upto THEN p END").alias("at"),
         )
         new = cut(new)
-        done = done.unionByName(new.where("at IS NOT NULL"))
-        state = new.where("at IS NULL")
+        ended.append(new.where(F.col("at").isNotNull() | few))
+        open_ = new.where(F.col("at").isNull() & ~few)
+    done = ended[0]
+    for e in ended[1:]:
+        done = done.unionByName(e)
+    done = done.where("at IS NOT NULL").select("scope", "key", "n", "q", "at").unionByName(_picked(part, done.where("at IS NULL")))
     found = done.select("scope", "key", "n", "q", middle("at").alias("v"))
     return found.groupBy("scope", "key", "n").pivot("q", list(levels)).agg(F.first("v"))
 

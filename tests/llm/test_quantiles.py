@@ -3,6 +3,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+
+from dyadica.llm import quantiles
 from dyadica.llm.quantiles import ERROR, LEVELS, bucket, merged, middle, percentiles, readings, select_ranks, summaries
 from pyspark.sql import functions as F
 
@@ -56,7 +59,9 @@ def test_buckets(spark):
     assert [b for _, (b, _) in sorted(got.items())] == sorted(b for b, _ in got.values())
 
 
-def test_percentiles_within_error(spark):
+@pytest.mark.parametrize("few", [0, 64, 10**9])
+def test_percentiles_within_error(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
     data = rows(3000)
     data += random.Random(1).sample(data, 200)
     data = [(*r[:3], r[3] if r[3] is not None else None, *r[4:]) for r in data]
