@@ -42,9 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
+        delete_on_exit(spark, sc._jsc.sc().getCheckpointDir().get())  # this application's own subfolder
     return named
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop what this application wrote when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -63,4 +70,5 @@ def stored(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,12 +13,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadica.session import shared_dir
+from dyadica.session import delete_on_exit, shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
