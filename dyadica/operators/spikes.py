@@ -28,14 +28,14 @@ class SpikeRules:
     """profile: readings in a profile (a row of the matrix). rank: components kept.
     candidate: multiples of the scatter from which the split puts a reading aside.
     confirm: multiples of the scatter, on both sides, from which a candidate is a spike; a normal
-    reading, its scatter estimated from some sixty, goes beyond 7.5 less than once in ten million.
+    reading, its scatter estimated from some sixty, goes beyond 6.7 less than once in a million.
     reach: neighbours looked at on a side. run: equal successive readings that count as stuck.
     longest_us, latest: bounds of any conceivable duration (ten years) and simulated time."""
 
     profile: int = 12
     rank: int = 2
     candidate: float = 4.0
-    confirm: float = 7.5
+    confirm: float = 6.7
     reach: int = 7
     run: int = 5
     longest_us: int = 315_576_000_000_000

@@ -469,12 +469,32 @@ def transform_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+def _wave(order: str, even: str, end: str) -> str:
+    """Lifting steps as SQL: a recursion over the steps of each pole, the poles of dimension 0 first. ``order`` is the parity updated first."""
+
+    def rule(n: str, first: bool) -> str:
+        mine = "even" if (order == "even") == first else "odd"
+        if mine == "odd":
+            return "CASE WHEN i % (2 * s) = s THEN a[i + 1] - 0.5 * (a[i + 1 - s] + a[i + 1 + s]) ELSE a[i + 1] END"
+        near = lambda j: end.format(own="a[i + 1]", side=f"a[{j}]")
+        return f"CASE WHEN i = 0 THEN {near('i + 1 + s')} WHEN i = {n} THEN {near('i + 1 - s')} WHEN i % (2 * s) = 0 THEN {even.format(own='a[i + 1]', sides='(a[i + 1 - s] + a[i + 1 + s])')} ELSE a[i + 1] END"
+
+    def along(src: str, k: int) -> str:
+        i, o, n = f"i{k}", f"i{1 - k}", f"(1::BIGINT << l{k})"
+        step = f"list_transform(range(0, len(a)), lambda i: CASE WHEN k % 2 = 0 THEN {rule(n, True)} ELSE {rule(n, False)} END)"
+        return f"""r{k} AS (SELECT task_id, {o}, l0, l1, list(value ORDER BY {i}) AS a, 0 AS k, 1::BIGINT AS s FROM {src} GROUP BY ALL
+UNION ALL SELECT task_id, {o}, l0, l1, {step}, k + 1, 1::BIGINT << ((k + 1) // 2) FROM r{k} WHERE k < 2 * l{k}),
+w{k} AS (SELECT task_id, {o}, l0, l1, unnest(range(0, len(a))) AS {i}, unnest(a) AS value FROM r{k} WHERE k = 2 * l{k})"""
+
+    return _FILL.replace("WITH ", "WITH RECURSIVE ", 1) + f", {along('g', 0)}, {along('w0', 1)} SELECT task_id, i0, i1, {R('value')} AS value FROM w1"
+
+
+@query(_wave("even", "0.5 * {own} + 0.25 * {sides}", "0.5 * ({own} + {side})"))
 def hierarchize_fullweighting(spark: SparkSession, d: str) -> DataFrame:
     return transform.hierarchize(filled(spark, d), 2, "fullweighting").select("task_id", *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
 
 
-@query()
+@query(_wave("odd", "{own} + 0.25 * {sides}", "{own} + 0.5 * {side}"))
 def hierarchize_biorthogonal(spark: SparkSession, d: str) -> DataFrame:
     return transform.hierarchize(filled(spark, d), 2, "biorthogonal").select("task_id", *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
 
@@ -601,12 +621,13 @@ def load_models(spark: SparkSession, d: str) -> DataFrame:
     return grids.tasks_of(table(spark, d, "scheme")).select("task_id", sched.linear_load(l).alias("linear"), round9(sched.anisotropy_load(l, 1.0, (0.5, 0.0, 0.0, 0.25, 0.0, 0.0))).alias("anisotropic"))
 
 
-_ONCE = "once AS (SELECT task_id, stat_id, min(duration_us) AS v, min(sim_time) AS t FROM task_stats WHERE task_id IS NOT NULL AND duration_us > 0 AND sim_time IS NOT NULL AND NOT isnan(sim_time) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t DESC, stat_id DESC) AS r FROM once), n AS (SELECT task_id, avg(v) AS load, count(*) AS readings FROM k WHERE r <= 5 GROUP BY 1)"
+_ONCE = "once AS (SELECT task_id, stat_id, min(duration_us) AS v, min(sim_time) AS t FROM task_stats WHERE task_id IS NOT NULL AND duration_us > 0 AND duration_us < 1000000000000 AND sim_time IS NOT NULL AND NOT isnan(sim_time) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t DESC, stat_id DESC) AS r FROM once), n AS (SELECT task_id, avg(v) AS load, count(*) AS readings FROM k WHERE r <= 5 GROUP BY 1)"
 
 
 @query(_S + f", {_ONCE} SELECT tasks.task_id, round(coalesce(load, CAST(1::BIGINT << CAST(list_sum(level) AS BIGINT) AS DOUBLE)), 3) AS load, coalesce(readings, 0) AS readings FROM tasks LEFT JOIN n USING (task_id)")
 def load_last_n(spark: SparkSession, d: str) -> DataFrame:
-    return sched.last_n(table(spark, d, "task_stats"), 5, table(spark, d, "scheme")).select("task_id", F.round("load", 3).alias("load"), "readings")
+    """Durations below 10^12, as no step takes twelve days."""
+    return sched.last_n(table(spark, d, "task_stats").where("duration_us < 1000000000000"), 5, table(spark, d, "scheme")).select("task_id", F.round("load", 3).alias("load"), "readings")
 
 
 _AVG = "a AS (SELECT task_id, avg(v) AS load FROM (SELECT task_id, stat_id, min(duration_us) AS v FROM task_stats WHERE task_id IS NOT NULL AND duration_us > 0 AND duration_us < 1000000000000 GROUP BY 1, 2) GROUP BY 1)"
