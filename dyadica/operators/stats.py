@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from dyadica.operators.skew import FLOOR, all_of, with_blocks
 
 
 def durations(events: DataFrame) -> DataFrame:
@@ -12,19 +15,45 @@ def durations(events: DataFrame) -> DataFrame:
     return events.select(*cols).where("event IS NOT NULL AND t_end_us > t_start_us").distinct().withColumn("duration_us", F.col("t_end_us") - F.col("t_start_us"))
 
 
-def timer_statistics(events: DataFrame, by: list[str]) -> DataFrame:
-    """Number, least, largest, mean, median, population deviation and total of the durations, by ``by``.
+def medians(df: DataFrame, by: list[str], value: str, floor: int = FLOOR) -> DataFrame:
+    """``by``, ``median``: exact medians (the mean of the two middle values) without holding a group in memory.
 
-    The median is exact; for millions of rows a group, see the mergeable percentiles.
+    Equal values are counted before the shuffle; the middle ranks are met by running counts. A group with more than
+    ``floor`` distinct values is cut into blocks by value, each counted apart. Null values are left out; a null in ``by`` is
+    a group like others.
     """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts, hot = with_blocks(counts, by, "_v", floor=floor, counted=df.select(*by))
+    unit = [*by, "_blk"] if hot else by
+    counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*unit).orderBy("_v")))
+    if hot:
+        sizes = counts.groupBy(*unit).agg(F.sum("_n").alias("_s"))
+        w = Window.partitionBy(*by)
+        sizes = sizes.select(*unit, F.coalesce(F.sum("_s").over(w.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(w).alias("_all"))
+        counts = _beside(counts, sizes, unit).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    else:
+        counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    met = lambda k: F.max(F.when((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k), F.col("_v")))
+    return counts.groupBy(*by).agg(((met(low) + met(high)) / 2).alias("median"))
+
+
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Join on columns that may be null."""
+    other = b.select(*[F.col(c).alias(f"_r_{c}") for c in by], *[c for c in b.columns if c not in by])
+    on = all_of([F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by])
+    return a.join(other, on).drop(*[f"_r_{c}" for c in by])
+
+
+def timer_statistics(events: DataFrame, by: list[str], floor: int = FLOOR) -> DataFrame:
+    """Number, least, largest, mean, median, population deviation and total of the durations, by ``by``."""
     d = F.col("duration_us")
-    return events.groupBy(*by).agg(F.count(d).alias("n"), F.min(d).alias("least"), F.max(d).alias("largest"), F.avg(d).alias("mean"), F.median(d).alias("median"), F.stddev_pop(d).alias("deviation"), F.sum(d).alias("total"))
+    sums = events.groupBy(*by).agg(F.count(d).alias("n"), F.min(d).alias("least"), F.max(d).alias("largest"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("deviation"), F.sum(d).alias("total"))
+    return _beside(sums, medians(events, by, "duration_us", floor), by)
 
 
 def numbered_steps(events: DataFrame) -> DataFrame:
     """``step``: the how-manieth time a rank is in an event, from 0."""
-    from pyspark.sql.window import Window
-
     return events.withColumn("step", F.row_number().over(Window.partitionBy("rank", "event").orderBy("t_start_us", "t_end_us")) - 1)
 
 

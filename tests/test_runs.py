@@ -167,3 +167,18 @@ def test_sampling(spark):
     assert e["linf"] == 0 and e["rel_l1"] == 0
     w = faults.weibull_times(spark.range(2000).select(F.col("id").alias("rank")), 1.0, 10.0)
     assert abs(w.agg(F.avg("fault_at")).first()[0] - 10) < 1
+
+
+@pytest.mark.parametrize("floor", [1 << 20, 40])
+def test_medians(spark, floor):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1, 2, 2, None]) if rng.random() < 0.3 else rng.randrange(500)) for _ in range(700)] + [("c", 7), ("d", None)]
+    got = {r["k"]: r["median"] for r in stats.medians(spark.createDataFrame(rows, "k string, v bigint"), ["k"], "v", floor).collect()}
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in want.items()}
