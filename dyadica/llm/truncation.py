@@ -206,8 +206,9 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     prefix = (unknown & ((F.col("n2") < 3) | (F.col("mass2") > 0))) | below
     verdict = known.select(*TRIPLE, prefix.alias("prefix"), _never(rules, rules.spared).alias("never"), _never(rules, 0).alias("never0"))
     c = lookup_join(c, verdict, TRIPLE)
-    cuts = F.broadcast(limits(docs, rules).groupBy("source").agg(F.collect_list(F.struct("unit", "size")).alias("cuts")))
-    c = c.join(cuts, c["source"].eqNullSafe(cuts["source"]), "left").drop(cuts["source"])
+    named = F.coalesce("source", F.lit("\x00")).alias("_source")
+    cuts = limits(docs, rules).groupBy(named).agg(F.collect_list(F.struct("unit", "size")).alias("cuts"))
+    c = lookup_join(c.select("*", named), cuts, ["_source"])
     at_limit = F.coalesce(F.exists("cuts", lambda x: F.when(x["unit"] == "chars", F.col("chars").between(x["size"] - 1, x["size"])).otherwise(F.col("bytes").between(x["size"] - 3, x["size"]))), F.lit(False))
     limit = at_limit & (F.col("marked") | ~(F.col("ended") | F.col("dash") | F.col("closed")))
     sound = F.col("dash") | F.col("ended") | F.col("closed")
@@ -217,7 +218,7 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
         (word & ~sound & F.coalesce("prefix", F.lit(False))).alias("prefix"),
         limit.alias("limit"),
         (word & ~sound & F.coalesce(F.when(F.col("stops"), F.col("never")).otherwise(F.col("never0")), F.lit(False))).alias("unfinished"),
-        (F.col("broken") | (~F.col("dash") & ~F.col("ended") & (F.col("hanging") | F.col("inside")))).alias("open"),
+        (word & (F.col("broken") | (~F.col("dash") & ~F.col("ended") & (F.col("hanging") | F.col("inside"))))).alias("open"),
     )
     return out.where("prefix OR limit OR unfinished OR open")
 

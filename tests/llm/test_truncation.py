@@ -77,6 +77,7 @@ def test_cases(spark):
         (13, "wire", None, False),
         (14, "wire", "  \n", False),
         (15, "wire", "!?", False),
+        (20, "wire", "((", False),
         (16, None, "The harbour approved the budget of the com", True),
         (17, "wire", "The harbour approved the budget of the com", True),
         (18, "wire", "The harbour approved the budget of the com   ​\n", True),
