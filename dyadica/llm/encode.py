@@ -77,9 +77,7 @@ def encode_words(words: DataFrame, name: str, folder: str = vocab.FOLDER) -> Dat
 
     @F.pandas_udf("array<int>")
     def by_heap(w: pd.Series) -> pd.Series:
-        import tiktoken
-
-        enc = tiktoken.Encoding(name, pat_str=vocab.PATTERN, mergeable_ranks=vocab.read_ranks(name, folder), special_tokens={})
+        enc = vocab.encoding(name, folder)
         return w.map(lambda x: enc._encode_single_piece(x.encode()))
 
     short = F.octet_length("word") <= LONG

@@ -18,13 +18,19 @@ def read_ranks(name: str, folder: str = FOLDER) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(maxsize=4)
+def encoding(name: str, folder: str = FOLDER):
+    """The public library's encoder of a rank file, without special tokens; kept by each worker."""
+    import tiktoken
+
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=read_ranks(name, folder), special_tokens={})
+
+
 @lru_cache(maxsize=4)
 def counter(name: str, folder: str = FOLDER):
     """A function from a list of texts to their numbers of tokens, or None if there is no such tokenizer."""
     if os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
-        import tiktoken
-
-        enc = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=read_ranks(name, folder), special_tokens={})
+        enc = encoding(name, folder)
         return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
     if os.path.exists(os.path.join(folder, f"{name}.model")):
         import sentencepiece
