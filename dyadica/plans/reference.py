@@ -615,10 +615,14 @@ def dump_read_reduce(spark: SparkSession, d: str) -> DataFrame:
 # ---- loads, faults ----
 
 
-@query(_S + f" SELECT task_id, CAST(1::BIGINT << CAST(list_sum(level) AS BIGINT) AS DOUBLE) AS linear, {R('CAST(1::BIGINT << CAST(list_sum(level) AS BIGINT) AS DOUBLE) * (1 + 0.5 * level[1] / list_sum(level) + 0.25 * coalesce(level[3], 0) * coalesce(level[3], 0) / (list_sum(level) * list_sum(level)))')} AS anisotropic FROM tasks")
+_SHARES = ", sh AS (SELECT task_id, 1::BIGINT << CAST(list_sum(level) AS BIGINT) AS n, level[1] / list_sum(level) AS x, level[3] / list_sum(level) AS y, level[4] / list_sum(level) AS z FROM tasks)"
+_POLY = "2.6451 - 10.7883 * x - 0.8959 * y - 0.4814 * z + 15.345 * x * x + 1.0204 * x * y + 2.9396 * x * z + 2.3668 * y * y - 1.1119 * y * z + 0.3434 * z * z"
+
+
+@query(_S + _SHARES + f" SELECT task_id, CAST(n AS DOUBLE) AS linear, {R(f'(1.252e-05 * CAST(n AS DOUBLE) ** 1.076 + 0.01308) * ({_POLY})')} AS anisotropic FROM sh")
 def load_models(spark: SparkSession, d: str) -> DataFrame:
     l = F.col("level")
-    return grids.tasks_of(table(spark, d, "scheme")).select("task_id", sched.linear_load(l).alias("linear"), round9(sched.anisotropy_load(l, 1.0, (0.5, 0.0, 0.0, 0.25, 0.0, 0.0))).alias("anisotropic"))
+    return grids.tasks_of(table(spark, d, "scheme")).select("task_id", sched.linear_load(l).alias("linear"), round9(sched.anisotropy_load(l)).alias("anisotropic"))
 
 
 _ONCE = "once AS (SELECT task_id, stat_id, min(duration_us) AS v, min(sim_time) AS t FROM task_stats WHERE task_id IS NOT NULL AND duration_us > 0 AND duration_us < 1000000000000 AND sim_time IS NOT NULL AND NOT isnan(sim_time) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t DESC, stat_id DESC) AS r FROM once), n AS (SELECT task_id, avg(v) AS load, count(*) AS readings FROM k WHERE r <= 5 GROUP BY 1)"
@@ -649,7 +653,7 @@ def rebalanced(spark: SparkSession, d: str) -> DataFrame:
     rows = t.join(mean, "task_id").select("task_id", "group", "load").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} tasks in a scheme")
-    return spark.createDataFrame(sched.rebalance([tuple(r) for r in rows], 50, 0.01), "task_id bigint, from_group int, to_group int")
+    return spark.createDataFrame(sched.rebalance([tuple(r) for r in rows], 50, 1.01), "task_id bigint, from_group int, to_group int")
 
 
 _STEPS = "st AS (SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY t_start_us, t_end_us, event) - 1 AS step, event, t_start_us, t_end_us FROM (SELECT DISTINCT rank, event, t_start_us, t_end_us FROM timer_events WHERE event IS NOT NULL AND t_end_us > t_start_us AND rank IS NOT NULL))"

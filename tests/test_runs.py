@@ -109,7 +109,7 @@ def test_loads(spark):
     got = {r["task_id"]: (r["load"], r["readings"]) for r in sched.last_n(st, 2, t).collect()}
     assert got == {1: (40.0, 2), 2: (128.0, 0)}
     assert {r["task_id"]: r["load"] for r in sched.averages(st).collect()} == {1: 99 / 4}
-    moves = sched.rebalance([(0, 0, 8.0), (1, 0, 2.0), (2, 0, 2.0), (3, 1, 1.0)], 10, 0.05)
+    moves = sched.rebalance([(0, 0, 8.0), (1, 0, 2.0), (2, 0, 2.0), (3, 1, 1.0)], 10, 1.05)
     load = {0: 12.0, 1: 1.0}
     for task, a, b in moves:
         x = {0: 8.0, 1: 2.0, 2: 2.0, 3: 1.0}[task]
