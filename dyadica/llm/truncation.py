@@ -81,7 +81,7 @@ def _tokens(text: Column) -> Column:
 
     All of it is done by passes over the whole text; nothing is matched token by token.
     """
-    t = F.regexp_replace(F.lower(F.regexp_replace(text, "[\x01\x02]", " ")), r"\p{N}+([.,:]\p{N}+)*", "0")
+    t = F.regexp_replace(F.lower(F.regexp_replace(text, "[\x01\x02]", " ")), r"\p{N}+(?:[.,:]\p{N}+)*+", "0")
     t = F.regexp_replace(t, rf"(?U)(?<={_IN}{_IN})[\"'”’»)\]]*\s*(?:[.!?…]|[–—](?:\s|$)|-\s|(?<=\p{{L}})\)){_OUT}*", f" {_STOP} ")
     t = F.regexp_replace(t, rf"(?U)(?<={_IN})[^\p{{L}}\p{{M}}\p{{N}}{_STOP}]*:\s*(?={_IN})", f" {_COLON} ")
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_STOP}{_COLON}]+", " ")

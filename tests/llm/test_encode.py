@@ -27,6 +27,9 @@ TEXTS = [
     "Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft" * 3,
     "é broken � \x00 \x7f",
     "word " * 5000,
+    "1," * 100_000,
+    " " * 300_000 + "a",
+    "b" * 20_000 + "\n" * 50_000,
 ]
 
 
