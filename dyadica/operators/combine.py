@@ -124,6 +124,9 @@ def onto(sparse: DataFrame, levels: DataFrame, dim: int, by: list[str] | None =
     from dyadica.operators.grids import indices
 
     fields = sparse.select(*(by or []), "field_id").distinct()
-    base = levels.join(fields, by) if by else levels.withColumn("field_id", F.explode(F.array(*[F.lit(r[0]) for r in fields.limit(1000).collect()])))
+    on = by or ["_all"]
+    if not by:  # each field on each grid
+        fields, levels = fields.withColumn("_all", F.lit(1)), levels.withColumn("_all", F.lit(1))
+    base = levels.join(fields, on).drop("_all")
     pts = keyed(indices(base, dim)).withColumn("value", F.lit(0.0))
     return scatter(pts, sparse, by)
