@@ -175,7 +175,8 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules(), *, source: str
     stages are impossible. Ties of the stage are ordered by ``reading``. Other columns are ignored.
 
     A source with more than ``floor`` rows (see ``skew``) is cut into blocks by its stage; each block has the
-    four usable readings on either side of it as well, enough for runs and neighbours to be whole.
+    usable readings on either side of it as well, enough for runs and neighbours to be whole. The scatter
+    of a source that is done in blocks or stretches is that of each of them.
     """
     one = (
         df.select(F.col(reading).cast("bigint").alias("id"), F.col(source).cast("bigint").alias("src"), F.col(value).cast("bigint").alias("v"), F.col(stage).cast("double").alias("st"), F.col(setting).cast("double").alias("se"))
@@ -191,7 +192,8 @@ def implausible(df: DataFrame, rules: SpikeRules = SpikeRules(), *, source: str
     named, hot = with_blocks(one.where("src IS NOT NULL"), ["src"], "id", "_ib", floor, counted)
     by_id = Window.partitionBy("src", "_ib").orderBy("id")
     before = F.last("st", ignorenulls=True).over(by_id.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("st", ignorenulls=True).over(by_id.rowsBetween(0, Window.unboundedFollowing))
+    # for the rows before the first stage; one frame for all rows, since one that starts at each row takes quadratic time
+    after = F.first("st", ignorenulls=True).over(by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     named = named.withColumn("place", F.coalesce(before, after, F.lit(0.0))).drop("_ib")
     blocked, hot = with_blocks(named, ["src"], "place", floor=floor, counted=counted) if hot else (named.withColumn("_blk", F.lit(0)), False)
     blocked = blocked.withColumn("halo", F.lit(False))
