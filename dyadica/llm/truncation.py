@@ -2,7 +2,7 @@
 
 The corpus itself says what its words are and how its sentences end. All words go into a
 trie, held as a table of prefixes with the number of words seen below each; all pairs of neighbouring words
-are counted, with how often a sentence ends after them. A text that ends like a sentence is whole. Of the others,
+are counted over different texts, with how often a sentence ends after them. A text that ends like a sentence is whole. Of the others,
 what was put after a possible break (page marks, ellipses, the beginning of a tag) is taken off, and
 the text is truncated if
 
@@ -64,7 +64,7 @@ _IN, _OUT = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]"
 _STOP, _COLON = "\x01", "\x02"
 
 
-TRIPLE, SUMS = ["prev2", "prev", "tok"], ["n", "ends", "last", "inner"]
+TRIPLE, SUMS = ["prev2", "prev", "tok"], ["n", "ends", "last", "inner", "rows_n", "rows_ends", "rows_last", "rows_inner"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -136,21 +136,27 @@ def limits(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     return own.groupBy("source", "unit", "size").agg(F.max("n").alias("n"), F.avg("own").alias("own")).where("own >= 0.5").drop("own")
 
 
-def _never(rules: CutRules, spared: int) -> Column:
+def _never(rules: CutRules, spared: int, by: str = "") -> Column:
     """Whether words never end a sentence, judged by the widest context seen often enough; ``spared`` of the texts that
-    stop there are taken for truncated ones."""
-    seldom = lambda k: F.col(f"ends{k}") + F.greatest(F.col(f"last{k}") - spared, F.lit(0)) <= rules.ends * F.col(f"n{k}")
-    alone = (F.col("n1") >= rules.support) & seldom(1)
-    narrow = F.when(F.col("n2") >= rules.support, seldom(2)).when(F.col("inner2") >= 1, alone).when((F.col("n2") < 3) & ~F.col("prev").isin("", ":"), alone).otherwise(False)
-    return F.when(F.col("n3") >= rules.support, seldom(3)).otherwise(narrow)
+    stop there are taken for truncated ones. ``by``: ``rows_`` to count rows, not different texts."""
+    of = lambda x, k: F.col(f"{by}{x}{k}")
+    seldom = lambda k: of("ends", k) + F.greatest(of("last", k) - spared, F.lit(0)) <= rules.ends * of("n", k)
+    alone = (of("n", 1) >= rules.support) & seldom(1)
+    narrow = F.when(of("n", 2) >= rules.support, seldom(2)).when(of("inner", 2) >= 1, alone).when((of("n", 2) < 3) & ~F.col("prev").isin("", ":"), alone).otherwise(False)
+    return F.when(of("n", 3) >= rules.support, seldom(3)).otherwise(narrow)
 
 
 def triples(docs: DataFrame) -> DataFrame:
     """prev2, prev, tok, n, ends, last, inner: neighbouring words of the corpus, how often seen, how often a sentence ends
-    after them, how often a text stops there without a sentence's end, and how often they stand within a text. What comes before is empty at the start of a sentence, a colon after one."""
-    d = docs.select(_tokens(F.col("t")).alias("a")).select(F.inline(_contexts("a"))).where(~F.col("tok").isin(_STOP, _COLON))
+    after them, how often a text stops there without a sentence's end, and how often they stand within a text. What comes before is empty at the start of a sentence, a colon after one.
+
+    Different texts count once, as a cut text that is delivered again is no witness for itself; ``rows_n`` and so on are the same over all rows."""
+    d = docs.groupBy("t").agg(F.count(F.lit(1)).alias("rows"))
+    d = d.select(_tokens(F.col("t")).alias("a"), "rows").select("rows", F.inline(_contexts("a"))).where(~F.col("tok").isin(_STOP, _COLON))
     stops, last = F.coalesce(F.col("next") == _STOP, F.lit(False)), F.col("next").isNull()
-    return d.groupBy("prev2", "prev", "tok").agg(F.count(F.lit(1)).alias("n"), F.sum(stops.cast("int")).alias("ends"), F.sum(last.cast("int")).alias("last"), F.sum((~last).cast("int")).alias("inner"))
+    each = {"n": F.lit(True), "ends": stops, "last": last, "inner": ~last}
+    sums = [F.sum(x.cast("int")).alias(k) for k, x in each.items()] + [F.sum(F.when(x, F.col("rows")).otherwise(0)).alias(f"rows_{k}") for k, x in each.items()]
+    return d.groupBy("prev2", "prev", "tok").agg(*sums)
 
 
 def _prefixes(word: str) -> Column:
@@ -204,7 +210,8 @@ def truncated(docs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     # a pair that stops several texts and is never seen to go on to a longer word is a word of its own
     below = (F.col("inner2") == 0) & (F.col("mass2") >= 5) & ((F.col("n2") < 3) | (F.col("mass2") >= rules.below * F.col("n2")))
     prefix = (unknown & ((F.col("n2") < 3) | (F.col("mass2") > 0))) | below
-    verdict = known.select(*TRIPLE, prefix.alias("prefix"), _never(rules, rules.spared).alias("never"), _never(rules, 0).alias("never0"))
+    # a text without full stops may be a heading, used over and over: all its rows count
+    verdict = known.select(*TRIPLE, prefix.alias("prefix"), _never(rules, rules.spared).alias("never"), _never(rules, 0, "rows_").alias("never0"))
     c = lookup_join(c, verdict, TRIPLE)
     named = F.coalesce("source", F.lit("\x00")).alias("_source")
     cuts = limits(docs, rules).groupBy(named).agg(F.collect_list(F.struct("unit", "size")).alias("cuts"))

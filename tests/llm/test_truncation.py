@@ -88,6 +88,16 @@ def test_cases(spark):
     assert {c[0] for c in cases if c[3]} == {d for d in found if d is None or d < 1000}
 
 
+def test_copies_are_no_counter_witnesses(spark):
+    rows, _ = corpus(400, 3)
+    rows = [(i + 1000, "scan", t) for i, _, t in rows]
+    rows += [(i, "wire", "The library rejected the budget last autumn. The harbour approved the budget of the") for i in range(60)]
+    rows += [(100 + i, "wire", "The railway delayed com" + " " * i) for i in range(6)]
+    rows += [(200 + i, "wire", "The budget of the library") for i in range(10)]  # a heading
+    found = {r["doc_id"] for r in truncated(frame(spark, rows)).collect()}
+    assert {d for d in found if d < 1000} == {*range(60), *range(100, 106)}
+
+
 def test_shares(spark):
     rows, cut = corpus(300, 5)
     s = {r["source"]: r for r in per_source(frame(spark, rows)).collect()}
