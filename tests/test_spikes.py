@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
-from dyadica.operators.spikes import SpikeRules, implausible, robust_components, spikes_of, stuck_of
+from dyadica.operators import spikes
+from dyadica.operators.spikes import SpikeRules, implausible, robust_components, spikes_of
 
 SCHEMA = "task_id bigint, stat_id bigint, duration_us bigint, sim_time double, n_procs int, id string, src string"
 
@@ -19,9 +22,9 @@ def test_components_split_off_sparse_part():
     noisy = low + 0.01 * rng.standard_normal(low.shape)
     noisy[7, 3] += 5.0
     noisy[40, 9] -= 4
-    back, sparse = robust_components(noisy, 2, 4.0)
+    back, aside, _ = robust_components(noisy, 2, 4.0)
     assert abs(back - low).max() < 0.1
-    assert abs(sparse[7, 3]) > 4 and abs(sparse[40, 9]) > 3
+    assert aside[7, 3] and aside[40, 9] and aside.sum() < 5
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -43,14 +46,47 @@ def test_change_of_level_and_of_processes_is_no_spike():
     assert np.flatnonzero(spikes_of(v, procs)).tolist() == [140]
 
 
-def test_coarse_clock():
-    v = np.round(series(scatter=0.002, drift=0.0) / 1e5) * 1e5
+def course(n=240, seed=2):
+    """A course that spans much more than its scatter, with spikes that lie inside the span."""
+    rng = np.random.default_rng(seed)
+    y = 12 + 1.5 * np.sin(np.arange(n) / 25) + 0.02 * rng.standard_normal(n)
+    at = [20, 90, 91, 160, 215]
+    y[at] += [0.4, -0.5, -0.5, 0.4, -0.4]
+    return np.round(np.exp(y)), at
+
+
+def test_components_decide(monkeypatch):
+    """With a constant level in the place of the low-rank part the spikes of a course aren't found."""
+    v, at = course()
+    setting = np.full(len(v), 8.0)
+    assert np.flatnonzero(spikes_of(v, setting)).tolist() == at
+    monkeypatch.setattr(spikes, "robust_components", lambda m, rank, candidate: (np.full(m.shape, np.median(m)), np.zeros(m.shape, bool), np.zeros(m.shape[1])))
+    assert not set(at) & set(np.flatnonzero(spikes_of(v, setting)))
+
+
+@pytest.mark.parametrize("where", [1, 2, 70, 194, 196])
+def test_bursts_of_three(where):
+    v = series(scatter=0.03)
+    v[where : where + 3] *= 2.5
+    assert np.flatnonzero(spikes_of(v, np.full(len(v), 8.0))).tolist() == [where, where + 1, where + 2]
+
+
+@pytest.mark.parametrize("where", [5, 7, 192, 195])
+def test_change_of_level_near_an_end(where):
+    v = series(scatter=0.03)
+    v[:where] *= 2.5
     assert not spikes_of(v, np.full(len(v), 8.0)).any()
 
 
-def test_stuck_runs():
-    assert stuck_of(np.array([1, 2, 2, 2, 2, 2, 3, 3, 3, 3.0]), 5).tolist() == [False] + [True] * 5 + [False] * 4
-    assert stuck_of(np.array([]), 5).tolist() == []
+def test_normal_readings_are_no_spikes():
+    rng = np.random.default_rng(7)
+    found = sum(spikes_of(np.round(np.exp(14 + 0.05 * rng.standard_normal(60))), np.full(60, 4.0)).sum() for _ in range(300))
+    assert found == 0  # of 18000
+
+
+def test_coarse_clock():
+    v = np.round(series(scatter=0.002, drift=0.0) / 1e5) * 1e5
+    assert not spikes_of(v, np.full(len(v), 8.0)).any()
 
 
 def rows_of(values, task=1, start=0):
@@ -76,28 +112,61 @@ def test_operator(spark, floor):
     assert all(got[s][2] for s in stuck)
 
 
-def test_hot_blocks_give_the_same(spark):
-    v = series(900, seed=3)
-    v[[100, 450, 451, 800]] *= 4
-    v[298:306] = v[298]
-    df = spark.createDataFrame(rows_of(v) + rows_of(series(60, 9), 2, 5000), SCHEMA)
-    one = sorted(map(tuple, implausible(df, SpikeRules()).collect()))
-    assert {r[0] for r in one} == {100, 450, 451, 800} | set(range(298, 306))
-    assert sorted(map(tuple, implausible(df, SpikeRules(), floor=100).collect())) == one
-
-
-def test_long_sources_are_done_in_stretches(spark, monkeypatch):
-    from dyadica.operators import spikes
-
-    v = series(1500, seed=4)
+def many(n=1500):
+    v = series(n, seed=4)
     v[[99, 100, 450, 799, 800, 1499]] *= 4
     v[596:604] = v[596]
-    df = spark.createDataFrame(rows_of(v) + rows_of(series(60, 9), 2, 5000), SCHEMA).coalesce(1)
-    one = sorted(map(tuple, implausible(df).collect()))
-    assert {r[0] for r in one} == {99, 100, 450, 799, 800, 1499} | set(range(596, 604))
-    monkeypatch.setattr(spikes, "STRETCH", 100)
-    monkeypatch.setattr(spikes, "OVERLAP", 40)
-    assert sorted(map(tuple, implausible(df).collect())) == one
+    rows = rows_of(v) + rows_of(series(60, 9), 2, 5000)
+    lost = random.Random(5)
+    out = []
+    for t, i, d, st, p, *rest in rows:
+        k = lost.random()
+        out.append((t, i, None if k < 0.02 else d, None if 0.02 < k < 0.06 else st, None if 0.06 < k < 0.1 else p, *rest))
+    return out
+
+
+def of(df, **kw):
+    return sorted(map(tuple, implausible(df, SpikeRules(), **kw).collect()))
+
+
+@pytest.mark.parametrize("stretch, overlap", [(1 << 13, 1 << 9), (128, 40)])
+def test_batches_and_blocks_change_nothing(spark, monkeypatch, stretch, overlap):
+    monkeypatch.setattr(spikes, "STRETCH", stretch)
+    monkeypatch.setattr(spikes, "OVERLAP", overlap)
+    df = spark.createDataFrame(many(), SCHEMA)
+    one = of(df)
+    assert {r[0] for r in one if r[2]} <= {99, 100, 450, 799, 800, 1499}
+    assert len([r for r in one if r[2]]) >= 5 and len([r for r in one if r[3]]) >= 5
+    for size in ("50", "700"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert of(df) == one
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for floor in (40, 400):
+        assert of(df, floor=floor) == one
+
+
+def test_scatter_is_that_of_the_whole_source(spark):
+    """A source whose scatter grows near its end is judged alike in whatever company it is."""
+    rng = np.random.default_rng(8)
+    n = 9000
+    v = np.round(np.exp(14 + np.where(np.arange(n) > n - 400, 0.3, 0.03) * rng.standard_normal(n)))
+    alone = of(spark.createDataFrame(rows_of(v), SCHEMA))
+    both = of(spark.createDataFrame(rows_of(v) + rows_of(series(50_000, 3), 2, 100_000), SCHEMA).coalesce(1), floor=5000)
+    assert alone == [r for r in both if r[0] < 100_000]
+
+
+def test_runs_across_blocks(spark):
+    """Runs of equal values wherever the limits of blocks fall, with readings between them that are passed over."""
+    v = series(600, 6)
+    for k in range(5, 600, 23):
+        v[k : k + 5 + k % 4] = v[k]
+    rows = rows_of(v)
+    rows[7] = (*rows[7][:2], None, *rows[7][3:])
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = of(df)
+    assert sum(r[3] for r in one) > 130
+    for floor in (15,):
+        assert of(df, floor=floor) == one
 
 
 def test_empty(spark):
