@@ -51,46 +51,104 @@ def down_set(levels: Iterable[Level], least: Level) -> list[Level]:
     return sorted(out)
 
 
-def coefficients_of(weights: dict[Level, int]) -> dict[Level, int]:
-    """c = M^-1 w: each level takes (-1)^|e| of the weight e above it."""
+def coefficients_of(weights: dict[Level, int], dims: list[int] | None = None) -> dict[Level, int]:
+    """c = M^-1 w: each level takes (-1)^|e| of the weight e above it, e in the dimensions ``dims`` or in all."""
     dim = len(next(iter(weights)))
-    steps = list(itertools.product((0, 1), repeat=dim))
+    steps = list(itertools.product(*[(0, 1) if dims is None or d in dims else (0,) for d in range(dim)]))
     c = {l: sum((-1) ** sum(e) * weights.get(tuple(a + b for a, b in zip(l, e)), 0) for e in steps) for l in weights}
     return {l: x for l, x in c.items() if x}
 
 
-def recovered(levels: Iterable[Level], faulty: Iterable[Level], node_limit: int = 200_000) -> dict[Level, int]:
-    """New coefficients: the most of sum 4^-|l| w_l with w in {0, 1}, so that no faulty grid has a coefficient.
+def _most(gains: list[int], counts: list[int], signs: list[tuple[int, ...]]) -> list[int]:
+    """The counts x, 0 <= x <= counts, with the largest sum of gains * x among those with sum of signs * x = 0 in every place.
 
-    Branch and bound over the weights from the finest level down; a set of weights need not be closed downward. Without a fault
-    the weights are all 1. ``node_limit`` bounds the search; the best set found by then is taken, and it is always a valid one.
+    Branch and bound to the end, so the result is proven. The classes come by falling gain. A branch is left if some sum can't be brought to 0
+    any more, or if even the cheapest way to bring the worst one to 0 costs too much.
     """
-    levels, faulty = list(levels), set(faulty)
-    least = tuple(min(l[d] for l in levels) for d in range(len(levels[0])))
-    nodes = sorted(down_set(levels, least), key=lambda l: (-sum(l), l))
-    at = {l: i for i, l in enumerate(nodes)}
-    gain = [4.0 ** -sum(l) for l in nodes]
-    rest = [0.0] * (len(nodes) + 1)
-    for i in range(len(nodes) - 1, -1, -1):
-        rest[i] = rest[i + 1] + gain[i]
-    dim = len(least)
-    steps = [e for e in itertools.product((0, 1), repeat=dim) if any(e)]
-    # the coefficient of a faulty grid involves weights above it alone, so it is known once its own is set
-    upper = {i: [((-1) ** sum(e), at[u]) for e in steps if (u := tuple(a + b for a, b in zip(nodes[i], e))) in at] for i in range(len(nodes)) if nodes[i] in faulty}
-    best_w, best_q, seen = [0] * len(nodes), -1.0, 0
-    stack: list[tuple[int, float, tuple[int, ...]]] = [(0, 0.0, ())]
+    places, n = range(len(signs[0]) if signs else 0), len(gains)
+    rest = [sum(g * c for g, c in zip(gains[i:], counts[i:])) for i in range(n + 1)]
+    best, best_x = -1, [0] * n
+
+    def least_loss(i: int, total: list[int]) -> int | None:
+        """What any way to make the sums 0 costs at least, from all that is left being taken; None if there is no way."""
+        worst = 0
+        for p in places:
+            over = total[p] + sum(signs[j][p] * counts[j] for j in range(i, n))
+            loss, sign = 0, 1 if over > 0 else -1
+            for j in range(n - 1, i - 1, -1):  # the cheapest first
+                if not over:
+                    break
+                if signs[j][p] == sign:
+                    k = min(counts[j], abs(over))
+                    over, loss = over - sign * k, loss + k * gains[j]
+            if over:
+                return None
+            worst = max(worst, loss)
+        return worst
+
+    stack: list[tuple[int, int, list[int], list[int]]] = [(0, 0, [0 for _ in places], [])]
     while stack:
-        i, q, w = stack.pop()
-        seen += 1
-        if q + rest[i] <= best_q + 1e-15 or (seen > node_limit and best_q >= 0):
+        i, q, total, x = stack.pop()
+        loss = least_loss(i, total)
+        if loss is None or q + rest[i] - loss <= best:
             continue
-        if i == len(nodes):
-            best_w, best_q = list(w), q
+        if i == n:
+            best, best_x = q, x
             continue
-        choices = (0, 1)
-        if i in upper:
-            need = -sum(s * w[j] for s, j in upper[i])
-            choices = tuple(x for x in (0, 1) if x == need)
-        for x in choices:  # 1 is looked at first
-            stack.append((i + 1, q + x * gain[i], (*w, x)))
-    return coefficients_of({l: best_w[at[l]] for l in nodes})
+        for k in range(counts[i] + 1):  # the most is looked at first
+            stack.append((i + 1, q + k * gains[i], [t + k * s for t, s in zip(total, signs[i])], [*x, k]))
+    return best_x
+
+
+def recovered(levels: Iterable[Level], faulty: Iterable[Level]) -> dict[Level, int]:
+    """New coefficients: the most of sum 4^-|l| w_l with w in {0, 1}, so that no faulty grid has a coefficient.
+
+    A set of weights need not be closed downward. Without a fault the weights are all 1, as are those that no faulty grid's coefficient depends on.
+    Weights of equal gain that the same coefficients depend on alike are interchangeable, so only how many of them are 1 is searched for; the lowest of them are.
+    The result is the proven best. Dimensions in which all levels are the same are left aside.
+    """
+    levels, faulty = list(levels), set(faulty)
+    least = tuple(min(l[d] for l in levels) for d in range(len(levels[0])))
+    free = [d for d in range(len(least)) if any(l[d] != least[d] for l in levels)]
+    nodes = down_set(levels, least)
+    lost = sorted(faulty & set(nodes))
+    finest = max(map(sum, nodes))
+
+    def sign(node: Level, fault: Level) -> int:
+        e = [a - b for a, b in zip(node, fault)]
+        return (-1) ** sum(e) if all(x in (0, 1) for x in e) else 0
+
+    classes: dict[tuple[int, tuple[int, ...]], list[Level]] = {}
+    w = dict.fromkeys(nodes, 1)
+    for l in nodes:
+        of = tuple(sign(l, f) for f in lost)
+        if any(of):
+            classes.setdefault((sum(l), of), []).append(l)
+    keys = sorted(classes)
+    x = _most([4 ** (finest - k[0]) for k in keys], [len(classes[k]) for k in keys], [k[1] for k in keys])
+    for k, n in zip(keys, x):
+        for l in sorted(classes[k])[n:]:
+            w[l] = 0
+    return coefficients_of(w, free)
+
+
+# Helpers over sets of faults.
+
+
+def varying(levels: Iterable[Level]) -> list[int]:
+    """The dimensions in which the levels differ; the others are dummies."""
+    levels = list(levels)
+    return [d for d in range(len(levels[0])) if len({l[d] for l in levels}) > 1]
+
+
+def without_dummies(levels: Iterable[Level], dims: list[int]) -> list[Level]:
+    """Levels of the dimensions ``dims`` alone."""
+    return [tuple(l[d] for d in dims) for l in levels]
+
+
+def random_faults(levels: Iterable[Level], count: int, seed: int = 0) -> list[Level]:
+    """``count`` of the levels, the same for the same seed whatever their order."""
+    import random
+
+    ordered = sorted(set(levels))
+    return sorted(random.Random(seed).sample(ordered, min(count, len(ordered))))

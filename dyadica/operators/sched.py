@@ -69,17 +69,18 @@ def rebalance(tasks: Sequence[tuple[int, int, float]], rounds: int = 10, thresho
     """Moves (task, from group, to group) that even out the loads of groups; ``tasks`` are (task, group, load).
 
     In each round that task of the slowest group moves to the fastest group which brings the latter closest to the mean load, unless that
-    makes it as slow; it ends when the slowest group's load is less than ``threshold`` times the mean. ``as_before`` counts the mean per
-    task instead of per group and drops the fraction of the imbalance, as older plans did. Ties go to the lowest number. The rule is
-    sequential and runs over a scheme's tasks alone, on the driver.
+    makes it as slow; it ends when the slowest group's load is less than ``threshold`` times the mean. A task is listed once, from where it was to where it
+    is in the end, and not at all if it came back. ``as_before`` does as older plans did: the mean is per task instead of per group, the imbalance drops its fraction, and
+    a task that has moved counts as where it went first, while the list has where it went last. Ties go to the lowest number. The rule is
+    sequential and runs over a scheme's tasks alone, on the driver: a million at most.
     """
-    group = {t: g for t, g, _ in tasks}
+    origin = {t: g for t, g, _ in tasks}
+    group, to = dict(origin), {}
     load = {t: float(x) for t, _, x in tasks}
-    moves: list[tuple[int, int, int]] = []
     if not tasks:
-        return moves
+        return []
     mean = sum(load.values()) / (len(tasks) if as_before else len(set(group.values())))
-    while len(moves) < rounds and mean > 0:
+    for _ in range(rounds if mean > 0 else 0):
         total = dict.fromkeys(sorted(set(group.values())), 0.0)
         for t, g in group.items():
             total[g] += load[t]
@@ -90,9 +91,10 @@ def rebalance(tasks: Sequence[tuple[int, int, float]], rounds: int = 10, thresho
         task = min((t for t, g in group.items() if g == slow), key=lambda t: (abs(total[fast] + load[t] - mean), t))
         if total[fast] + load[task] >= total[slow]:
             break
-        moves.append((task, slow, fast))
-        group[task] = fast
-    return moves
+        if not as_before or task not in to:
+            group[task] = fast
+        to[task] = fast
+    return [(t, origin[t], g) for t, g in to.items() if as_before or g != origin[t]]
 
 
 def static_moves(tasks: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, int]]:
@@ -101,8 +103,8 @@ def static_moves(tasks: Sequence[tuple[int, int, float]]) -> list[tuple[int, int
 
 
 def moved(scheme: DataFrame, moves: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """The scheme with the groups after the moves; its grids are filled again from the sparse grid."""
+    """The scheme with the groups after the moves, of several of one task the last; its grids are filled again from the sparse grid."""
     if not moves:
         return scheme
-    m = scheme.sparkSession.createDataFrame([(t, b) for t, _, b in moves], "task_id bigint, _to int")
-    return scheme.join(m, "task_id", "left").withColumn("group_no", F.coalesce("_to", "group_no")).drop("_to")
+    m = scheme.sparkSession.createDataFrame(list({t: b for t, _, b in moves}.items()), "_task bigint, _to int")
+    return scheme.join(m, F.col("task_id") == F.col("_task"), "left").withColumn("group_no", F.coalesce("_to", "group_no")).drop("_task", "_to")

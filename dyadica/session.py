@@ -72,3 +72,20 @@ def stored(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
     w.parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder, on whatever file system; none if there is no such folder."""
+    fs, p = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder or file and what is in it; nothing if it isn't there."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from dyadica.operators.features import UNKNOWN, apply_deltas, spelled, timer_deltas, wide
+from dyadica.streaming import features as store_module
 from dyadica.streaming.features import DELTAS, FeatureStore
 from pyspark.sql import functions as F
 
@@ -47,11 +48,16 @@ def test_empty(spark):
     assert all(r["n_1"] == 0 and r["latest_end_us"] is None for r in build(spark, []).values())
 
 
-def test_deltas_against_recount(spark, tmp_path):
+def test_deltas_against_recount(spark, tmp_path, monkeypatch):
     """Random inserts and retractions in batches give what counting the surviving events gives."""
     rng = random.Random(3)
-    store, alive = FeatureStore(spark, str(tmp_path)), []
-    for batch in range(3):
+    monkeypatch.setattr(store_module, "COMPACT", 2)
+    alive = []
+    for batch in range(4):
+        store = FeatureStore(spark, str(tmp_path))  # opened anew, as after a restart
+        if batch == 2:  # a state that was being written when the application ended, and a log
+            (tmp_path / "state-2").mkdir()
+            (tmp_path / "batch-2").mkdir()
         deltas = []
         for _ in range(60):
             e = (rng.randrange(3), rng.choice([1, 2, UNKNOWN]), rng.randrange(1, 9), rng.randrange(100), rng.random() < 0.3)
@@ -74,6 +80,8 @@ def test_deltas_against_recount(spark, tmp_path):
                 w[5] = end if w[5] is None else max(w[5], end)
         got = {(r["entity"], r["type_id"]): [r["n"], r["total"], r["n_f"], r["total_f"], r["last"], r["last_f"]] for r in store.state().collect()}
         assert got == want
+        assert sum(r["weight"] for r in store.survivors().collect()) == len(alive)
+    assert store.base is not None and len(list(tmp_path.glob("state-*"))) == 2 and len(list(tmp_path.glob("batch-*"))) < 3
 
 
 def test_stream_of_deltas(spark, tmp_path):
@@ -82,3 +90,13 @@ def test_stream_of_deltas(spark, tmp_path):
     store = FeatureStore(spark, str(tmp_path / "store"))
     store.follow(spark.readStream.schema(DELTAS).parquet(src), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["entity"], r["n"], r["total"], r["last"], r["last_f"]) for r in store.state().collect()) == [(1, 2, 12, 30, 10), (2, 1, 1, 4, None)]
+    again = FeatureStore(spark, str(tmp_path / "store"))
+    spark.createDataFrame([(1, 1, -1, 7, 30, False), (3, 1, 1, 2, 9, None)], DELTAS).write.mode("append").parquet(src)
+    again.follow(spark.readStream.schema(DELTAS).parquet(src), str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r["entity"], r["n"], r["total"], r["last"], r["last_f"]) for r in again.state().collect()) == [(1, 1, 5, 10, 10), (2, 1, 1, 4, None), (3, 1, 2, 9, None)]
+
+
+def test_empty_batch(spark, tmp_path):
+    store = FeatureStore(spark, str(tmp_path))
+    store.put(spark.createDataFrame([], DELTAS), 5)
+    assert store.state().count() == 0 and FeatureStore(spark, str(tmp_path)).version == 5

@@ -182,3 +182,43 @@ def test_medians(spark, floor):
         if v is not None:
             want.setdefault(k, []).append(v)
     assert got == {k: statistics.median(v) for k, v in want.items()}
+
+
+def test_recovery_ends_and_is_exact_in_more_dimensions():
+    import itertools
+
+    from dyadica.operators import faults
+
+    def active(dim, n):
+        return [tuple(1 + x for x in e) for s in range(max(0, n - dim + 1), n + 1) for e in itertools.product(range(n + 1), repeat=dim) if sum(e) == s]
+
+    for dim, n in ((4, 5), (6, 4)):
+        levels = active(dim, n)
+        lost = faults.random_faults(levels, 5, seed=dim)
+        c = faults.recovered(levels, lost)
+        assert not set(c) & set(lost) and sum(c.values()) == 1
+    middle = (2, 2, 1)
+    levels, lost = active(3, 2), [middle, (3, 1, 1), (1, 1, 1)]
+    nodes = faults.down_set(levels, (1, 1, 1))
+    best = max(sum(4.0 ** -sum(l) * x for l, x in zip(nodes, w)) for w in itertools.product((0, 1), repeat=len(nodes)) if not any(faults.coefficients_of(dict(zip(nodes, w))).get(f) for f in lost))
+    c = faults.recovered(levels, lost)
+    weight = lambda l: sum(x for m, x in c.items() if all(a >= b for a, b in zip(m, l)))
+    assert sum(4.0 ** -sum(l) * weight(l) for l in nodes) == best
+    # a dummy dimension changes nothing
+    flat = faults.recovered([(*l, 4) for l in levels], [(*l, 4) for l in lost])
+    assert flat == {(*l, 4): x for l, x in c.items()} and faults.varying([(*l, 4) for l in levels]) == [0, 1, 2]
+
+
+def test_a_task_moves_once(spark):
+    import random
+
+    from dyadica.operators import sched
+
+    for seed in range(300):
+        rng = random.Random(seed)
+        tasks = [(t, rng.randrange(4), float(rng.randrange(1, 50))) for t in range(12)]
+        for before in (False, True):
+            moves = sched.rebalance(tasks, 20, 1.01, as_before=before)
+            assert len({m[0] for m in moves}) == len(moves) and all(a == dict((t, g) for t, g, _ in tasks)[m] for m, a, _ in moves)
+    s = spark.createDataFrame([(1, 0), (2, 0)], "task_id bigint, group_no int")
+    assert sorted(map(tuple, sched.moved(s, [(1, 0, 3), (1, 3, 5)]).collect())) == [(1, 5), (2, 0)]
