@@ -58,12 +58,12 @@ def with_blocks(df: DataFrame, keys: list[str], order: str, out: str = "_blk", f
         return df.withColumn(out, F.lit(0)), False
     spark = df.sparkSession
     schema = df.select(*keys).schema
-    names = spark.createDataFrame([tuple(r[k] for k in keys) + (r["_n"],) for r in hot], schema.add("_n", T.LongType()))
+    names = spark.createDataFrame([tuple(r[k] for k in keys) + (r["_n"],) for r in hot], schema.add("_of_key", T.LongType()))
     most = max(r["_n"] for r in hot)
     parts = min(MAX_BLOCKS, max(2, -(-most // floor) * 2))
     cuts = [i / parts for i in range(1, parts)]
     # a key with fewer rows than the largest takes every so manieth cut, so all keys together have twice as many cuts as rows / floor
-    every = F.greatest(F.lit(1), F.expr(f"CAST({parts} div greatest(2, 2 * ((_n + {floor - 1}) div {floor})) AS INT)"))
+    every = F.greatest(F.lit(1), F.expr(f"CAST({parts} div greatest(2, 2 * ((_of_key + {floor - 1}) div {floor})) AS INT)"))
     limits = (
         df.join(F.broadcast(names), keys)
         .groupBy(*keys, every.alias("_every"))
