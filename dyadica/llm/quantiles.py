@@ -5,11 +5,12 @@ that a bucket's middle is within 1/1024 of every value in it, and values under 1
 counts of any days, partitions or files are joined by adding them, and the percentiles of the
 joined summaries are those of all rows at once.
 
-The percentiles are found by a distributed multi-select over the summaries. In each round every
-day's summary proposes the median of what is still in the running for a group and a rank; the
-median of the proposals, weighted by the rows behind them, becomes the pivot; all summaries count
+The percentiles are found by a multi-select over the summaries, which are made where the rows are. In each round every
+part (a day's summary, or that of days with the same hash) proposes the median of what is still in the running for a group and a rank; the
+median of the proposals, weighted by the rows behind them, becomes the pivot; all parts count
 below, at and above it; and the ranges that the counts rule out are dropped. A round drops at least a quarter of
-what is left, and touches only the ranks that are not yet found; a few entries that are left of a key are put side by side. The rank of percentile ``p`` among ``n`` is
+what is left, and rounds go on for each group and rank until it is found. They are a fold in the row that holds a group's parts, whose size is bounded by
+the number of buckets, so no round needs a job or a shuffle. The rank of percentile ``p`` among ``n`` is
 ``ceil(p * n)``, the smallest value with at least that share at or below it.
 """
 
@@ -19,15 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dyadica.session import cut, stored
-
 #: Bound of the relative error: half a bucket's width against its lower edge.
 ERROR = 1 / 1024
 #: The percentiles by the name of their column, per mille to keep ranks exact.
 LEVELS = {"p50": 500, "p90": 900, "p95": 950, "p99": 990, "p999": 999}
-#: Entries of summaries that are left of a key when its rank is looked up among them, rather than in another round.
-FEW = 64
-_LOW, _HIGH = -(1 << 40), 1 << 40
+#: Parts that the days of a key are dealt to: the bound of how many summaries are held against each other.
+PARTS = 64
+#: Rounds that suffice for any number of rows: each leaves three quarters of them at most, and 2^63 * 0.75^152 < 1.
+ROUNDS = 152
 
 
 def bucket(value: str) -> Column:
@@ -77,64 +77,56 @@ def merged(*parts: DataFrame) -> DataFrame:
     return out.groupBy("scope", "key", "day", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _sliced(part: DataFrame, state: DataFrame) -> DataFrame:
-    """Each day's summary with what is in the running: entries i0 to i1, and ``base``, the rows before them."""
-    here = part.join(state, ["scope", "key"]).select("*", F.expr("size(filter(b, x -> x <= lo))").alias("i0"), F.expr("size(filter(b, x -> x < hi))").alias("i1"))
-    return here.withColumn("base", F.expr("coalesce(get(c, i0 - 1), 0L)"))
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _count(part: str, low: str, high: str, test: str) -> str:
+    """SQL: how many of a part's entries from the first on pass ``test`` of the entry numbered ``at + h - 1``, known to be from ``low`` to ``high``: a search by halves."""
+    return f"aggregate({part}.h, {low}, (at, h) -> IF(at + h <= {high} AND {test}, at + h, at))"
 
 
-def _picked(part: DataFrame, state: DataFrame) -> DataFrame:
-    """The rank among the ``FEW`` entries that are left of a key, put side by side."""
-    entry = F.expr("transform(slice(b, i0 + 1, greatest(i1 - i0, 0)), (x, j) -> struct(x AS b, get(c, i0 + j) - coalesce(get(c, i0 + j - 1), 0L) AS n))")
-    rest = _sliced(part, state.drop("at", "left")).select("scope", "key", "n", "q", "k", "base", entry.alias("e"))
-    rest = rest.groupBy("scope", "key", "n", "q", "k").agg(F.sum("base").alias("before"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
-    at = F.expr("aggregate(e, struct(before AS upto, CAST(NULL AS BIGINT) AS at), (acc, x) -> struct(acc.upto + x.n AS upto, coalesce(acc.at, CASE WHEN acc.upto + x.n >= k THEN x.b END) AS at)).at")
-    return rest.select("scope", "key", "n", "q", at.alias("at"))
+def _selected(k: str) -> str:
+    """SQL for the bucket of rank ``k`` among the summaries ``parts`` of a key, by rounds of pivots.
+
+    The state of a search: of each part, the entries ``i`` to ``j`` that are in the running, and the bucket once it is found.
+    """
+    base, weight = "coalesce(get(x.c, y.i - 1), 0L)", "get(x.c, y.j - 1) - coalesce(get(x.c, y.i - 1), 0L)"
+    median = _let(base, "o", _let(weight, "w", "named_struct('m', get(x.b, " + _count("x", "y.i", "y.j", "2 * (get(x.c, at + h - 1) - o) < w") + "), 'w', w)"))
+    proposals = f"array_sort(filter(zip_with(parts, acc.s, (x, y) -> IF(y.i < y.j, {median}, NULL)), z -> z IS NOT NULL))"
+    total = "aggregate(ms, 0L, (t, z) -> t + z.w)"
+    pivot = f"aggregate(ms, named_struct('t', 0L, 'p', CAST(NULL AS BIGINT)), (q, z) -> named_struct('t', q.t + z.w, 'p', coalesce(q.p, IF(2 * (q.t + z.w) >= total, z.m, NULL)))).p"
+    below, upto = _count("x", "y.i", "y.j", "get(x.b, at + h - 1) < p"), _count("x", "y.i", "y.j", "get(x.b, at + h - 1) <= p")
+    cuts = f"zip_with(parts, acc.s, (x, y) -> named_struct('u', {below}, 'v', {upto}))"
+    rows = lambda e: f"aggregate(zip_with(parts, cs, (x, y) -> coalesce(get(x.c, y.{e} - 1), 0L)), 0L, (t, z) -> t + z)"
+    low = "named_struct('s', zip_with(acc.s, cs, (y, z) -> named_struct('i', y.i, 'j', z.u)), 'at', acc.at)"
+    high = "named_struct('s', zip_with(acc.s, cs, (y, z) -> named_struct('i', z.v, 'j', y.j)), 'at', acc.at)"
+    verdict = f"CASE WHEN {k} <= {rows('u')} THEN {low} WHEN {k} > {rows('v')} THEN {high} ELSE named_struct('s', acc.s, 'at', p) END"
+    step = _let(proposals, "ms", _let(total, "total", _let(pivot, "p", _let(cuts, "cs", verdict))))
+    start = "named_struct('s', transform(parts, x -> named_struct('i', 0, 'j', size(x.b))), 'at', CAST(NULL AS BIGINT))"
+    return f"aggregate(sequence(1, least({ROUNDS}, entries)), {start}, (acc, round) -> IF(acc.at IS NOT NULL, acc, {step})).at"
 
 
 def select_ranks(summary: DataFrame, levels: dict[str, int] | None = None) -> DataFrame:
     """scope, key, n and a column per level: the percentiles of all days of each key.
 
-    An empty summary gives an empty table.
+    An empty summary gives an empty table. One shuffle brings the summaries of a key together: ``PARTS`` of at most as many entries as there
+    are buckets (28,000), however many rows or days there are.
     """
     levels = levels or LEVELS
-    upto = F.sum("n").over(Window.partitionBy("scope", "key", "day").orderBy("bucket"))
-    pair = F.array_sort(F.collect_list(F.struct("bucket", "upto")))  # a key's buckets of one day: bounded by the buckets there are
-    part = summary.withColumn("upto", upto).groupBy("scope", "key", "day").agg(pair.alias("x"))
-    part = stored(part.select("scope", "key", F.col("x.bucket").alias("b"), F.col("x.upto").alias("c")))
-    ranks = F.array(*[F.struct(F.lit(name).alias("q"), F.expr(f"(n * {m}L + 999L) div 1000L").alias("k")) for name, m in levels.items()])
-    state = part.groupBy("scope", "key").agg(F.sum(F.element_at("c", -1)).alias("n"), F.sum(F.size("b").cast("bigint")).alias("left")).select("scope", "key", "n", F.inline(ranks), "left")
-    state = cut(state.select("*", F.lit(_LOW).alias("lo"), F.lit(_HIGH).alias("hi"), F.lit(None).cast("bigint").alias("at")))
-    few = F.col("left") <= FEW
-    ended, open_ = [state.where(few)], state.where(~few)
-    while not open_.isEmpty():
-        # the slice of a day's buckets strictly between lo and hi, and the rows before it
-        here = _sliced(part, open_.drop("at", "left")).where("i1 > i0").withColumn("w", F.expr("get(c, i1 - 1) - base"))
-        own = here.select("scope", "key", "q", "w", F.expr("get(b, i0 + size(filter(slice(c, i0 + 1, i1 - i0), x -> 2 * (x - base) < w)))").alias("m"))
-        pivots = own.groupBy("scope", "key", "q").agg(F.floor(F.percentile("m", F.lit(0.5), F.col("w"))).cast("bigint").alias("p"))
-        both = open_.drop("at", "left").join(pivots, ["scope", "key", "q"])
-        counts = (
-            part.join(both, ["scope", "key"])
-            .select(*both.columns, "c", F.expr("size(filter(b, x -> x < p))").alias("u"), F.expr("size(filter(b, x -> x <= p))").alias("v"), F.expr("size(filter(b, x -> x <= lo))").alias("i0"), F.expr("size(filter(b, x -> x < hi))").alias("i1"))
-            .groupBy(*both.columns)
-            .agg(F.expr("sum(coalesce(get(c, u - 1), 0L))").alias("less"), F.expr("sum(coalesce(get(c, v - 1), 0L))").alias("upto"), F.expr("sum(u - i0)").alias("under"), F.expr("sum(i1 - v)").alias("over"))
-        )
-        new = counts.select(
-            "scope", "key", "n", "q", "k",
-            F.expr("CASE WHEN k > upto THEN over ELSE under END").alias("left"),
-            F.expr("CASE WHEN k > upto THEN p ELSE lo END").alias("lo"),
-            F.expr("CASE WHEN k <= less THEN p ELSE hi END").alias("hi"),
-            F.expr("CASE WHEN k > less AND k <= upto THEN p END").alias("at"),
-        )
-        new = cut(new)
-        ended.append(new.where(F.col("at").isNotNull() | few))
-        open_ = new.where(F.col("at").isNull() & ~few)
-    done = ended[0]
-    for e in ended[1:]:
-        done = done.unionByName(e)
-    done = done.where("at IS NOT NULL").select("scope", "key", "n", "q", "at").unionByName(_picked(part, done.where("at IS NULL")))
-    found = done.select("scope", "key", "n", "q", middle("at").alias("v"))
-    return found.groupBy("scope", "key", "n").pivot("q", list(levels)).agg(F.first("v"))
+    own = ["scope", "key", "part"]
+    parts = summary.select("scope", "key", F.pmod(F.xxhash64("day"), F.lit(PARTS)).alias("part"), "bucket", "n").repartition("scope", "key")
+    parts = parts.groupBy(*own, "bucket").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy(*own).orderBy("bucket")))
+    parts = parts.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("bucket", "upto"))).alias("x"))
+    halves = F.expr("transform(sequence(0, CAST(floor(log2(size(x))) AS INT)), e -> shiftleft(1, CAST(floor(log2(size(x))) AS INT) - e))")
+    parts = parts.select("scope", "key", F.struct(F.col("x.bucket").alias("b"), F.col("x.upto").alias("c"), halves.alias("h")).alias("part"))
+    keys = parts.groupBy("scope", "key").agg(F.collect_list("part").alias("parts"))
+    keys = keys.selectExpr("*", "aggregate(parts, 0L, (t, x) -> t + element_at(x.c, -1)) AS n", "aggregate(parts, 0, (t, x) -> t + size(x.b)) AS entries")
+    ranks = ", ".join(f"(n * {m}L + 999L) div 1000L" for m in levels.values())
+    found = keys.selectExpr("scope", "key", "n", f"transform(array({ranks}), k -> {_selected('k')}) AS at")
+    found = found.select("scope", "key", "n", F.inline_outer(F.array(F.struct(*[F.get("at", F.lit(i)).alias(f"_{q}") for i, q in enumerate(levels)]))))  # a generator, so that the search isn't copied into every column
+    return found.select("scope", "key", "n", *[middle(f"_{q}").alias(q) for q in levels])
 
 
 def percentiles(stats: DataFrame) -> DataFrame:
