@@ -3,14 +3,15 @@
 Texts are split into words by the tokenizer's pattern in the JVM. Each distinct word of the
 corpus is encoded once: a fold over its bytes merges, again and again, the neighbours whose
 union has the lowest rank. Ranks come from a literal: an array of small maps, found by a
-checksum, because a map is searched from end to end. The encoded words are joined back to the
-texts' words and put together in order. Bytes are held as the characters 0 to 255 of a string.
+checksum, because a map is searched from end to end. The encoded words are a literal of the same kind, in which each text's words
+are looked up where the text is; a vocabulary too large for that is joined by a shuffle. Bytes are held as the characters 0 to 255 of a string.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,18 +23,30 @@ from dyadica.session import stored
 
 #: Maps in the rank literal: about six entries each.
 MAPS = 8192
-#: Words of more bytes are merged by a heap in Python: the fold's cost grows with the square.
+#: Words of more bytes are merged by the heap of the public library, to the same ids: the fold's cost grows with the square of a word's length.
 LONG = 96
-#: The encoded words are broadcast if there are at most so many, of so many bytes; else joined by a shuffle.
-BROADCAST_WORDS, BROADCAST_BYTES = 400_000, 24_000_000
+#: The encoded words are looked up in a literal if there are at most so many, of so many bytes; else joined by a shuffle.
+LITERAL_WORDS, LITERAL_BYTES = 200_000, 12_000_000
+
+
+def _literal(entries: Iterable[tuple[str, object]], kind: str) -> Column:
+    maps: list[dict[str, object]] = [{} for _ in range(MAPS)]
+    for key, value in entries:
+        maps[zlib.crc32(key.encode()) % MAPS][key] = value
+    return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
+
+
+def _found(literal: Column, key: Column) -> Column:
+    return F.get(literal, (F.crc32(key.cast("binary")) % MAPS).cast("int"))[key]
+
+
+def _short(word: Column) -> Column:
+    """A key of bounded length: a long word's digest after a zero, which no word has next to letters."""
+    return F.when(F.octet_length(word) > 200, F.concat(F.lit("\0"), F.sha2(word.cast("binary"), 256))).otherwise(word)
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for token, rank in ranks.items():
-        s = token.decode("latin-1")
-        maps[zlib.crc32(s.encode()) % MAPS][s] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return _literal(((token.decode("latin-1"), rank) for token, rank in ranks.items()), "int")
 
 
 def _let(value: Column, body) -> Column:
@@ -44,7 +57,7 @@ def merged_ids(word: Column, ranks: Column) -> Column:
     """The ids of ``word``, by folding ranked merges over its bytes."""
 
     def rank_of(piece: Column) -> Column:
-        return F.get(ranks, (F.crc32(piece.cast("binary")) % MAPS).cast("int"))[piece]
+        return _found(ranks, piece)
 
     def best_merge(acc: Column, r: Column) -> Column:
         def put(at: Column) -> Column:
@@ -78,30 +91,31 @@ def encode_words(words: DataFrame, name: str, folder: str = vocab.FOLDER) -> Dat
     @F.pandas_udf("array<int>")
     def by_heap(w: pd.Series) -> pd.Series:
         enc = vocab.encoding(name, folder)
-        return w.map(lambda x: enc._encode_single_piece(x.encode()))
+        return w.map(enc.encode_ordinary)  # a word is one match of the pattern by itself too
 
     short = F.octet_length("word") <= LONG
     return words.where(short).select("word", merged_ids(F.col("word"), rank_literal(ranks)).alias("ids")).unionByName(words.where(~short).select("word", by_heap("word").alias("ids")))
 
 
 def encode(docs: DataFrame, name: str = "byte_bpe_50k", *, doc_id: str = "doc_id", text: str = "text", folder: str = vocab.FOLDER) -> DataFrame:
-    """``doc_id`` and ``ids`` of each document.
+    """``doc_id`` and ``ids`` of each row of ``docs``.
 
     A null or empty text gives an empty list; strings that look like special tokens are ordinary
-    text. A document delivered twice with the same id and text comes out once; with the same id
-    and different texts, once for each text. Other columns of ``docs`` are not read.
+    text. A row delivered twice comes out twice. Other columns of ``docs`` are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    known = stored(encode_words(rows.select(F.explode(words_of(F.col("t"))).alias("word")).distinct(), name, folder))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    distinct = rows.select(F.explode("words").alias("word")).distinct().repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "word")
+    known = stored(encode_words(distinct, name, folder))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("b")).first()
-    once = rows.groupBy("d", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
-    tokens = once.select("d", "h", F.posexplode_outer(words_of(F.coalesce("t", F.lit("")))).alias("pos", "word"))
-    if size["n"] <= BROADCAST_WORDS and (size["b"] or 0) <= BROADCAST_BYTES:
-        tokens = tokens.join(F.broadcast(known), "word", "left")
-    else:
-        tokens = lookup_join(tokens, known, ["word"])
-    together = tokens.groupBy("d", "h").agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("w"))
-    return together.select(F.col("d").alias("doc_id"), F.flatten(F.transform(F.array_sort("w"), lambda x: x["ids"])).alias("ids"))
+    if size["n"] <= LITERAL_WORDS and (size["b"] or 0) <= LITERAL_BYTES:
+        ids = _literal(((r["k"], r["ids"]) for r in known.select(_short(F.col("word")).alias("k"), "ids").collect()), "array<int>")
+        return rows.select("doc_id", F.flatten(F.transform("words", lambda w: _found(ids, _short(w)))).alias("ids"))
+    # each row by a number of its own, since ids may repeat; written, so that the numbers are the same whenever they are read
+    own = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = own.select("_row", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    tokens = lookup_join(tokens, known, ["word"])
+    together = tokens.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("w"))
+    return together.select("doc_id", F.flatten(F.transform(F.array_sort("w"), lambda x: x["ids"])).alias("ids"))
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = vocab.FOLDER) -> DataFrame:
@@ -113,5 +127,3 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = vocab.F
     literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     joined = F.array_join(F.transform("ids", lambda i: F.get(literal, i)), "")
     return encoded.select("doc_id", F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8").alias("text"))
-
-

@@ -76,7 +76,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
     for s in large:
         while left[s]:
             i = bisect_left(rising, capacity - s + 1) - 1
-            while i >= 0 and (not left[rising[i]] or (rising[i] == s and left[s] < 2)):
+            if i >= 0 and rising[i] == s and left[s] < 2:
                 i -= 1
             t = rising[i] if i >= 0 else None
             n = left[s] if t is None else left[s] // 2 if t == s else min(left[s], left[t])
@@ -84,6 +84,9 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
             put(s, n, at)
             if t is not None:
                 put(t, n, at)
+            for x in {s, t or s}:
+                if not left[x]:
+                    del rising[bisect_left(rising, x)]
             room(capacity - s - (t or 0), at, n)
     for s in sorted((s for s in left if 0 < 3 * s <= capacity), reverse=True):
         while left[s]:
@@ -125,11 +128,15 @@ def token_counts(docs: DataFrame, tokenizers: list[str], folder: str = vocab.FOL
 
 def targets_of(table: DataFrame, folder: str = vocab.FOLDER) -> list[Row]:
     """The usable targets: those without an id or a capacity above zero, or with a tokenizer that there
-    isn't, are left out, and so get no containers; a repeated id counts once."""
+    isn't, are left out, and so get no containers; of a repeated id the largest capacity counts, and of equal ones the first tokenizer by name."""
     rows = table.select("pack_id", "tokenizer", "capacity_tokens").where("pack_id IS NOT NULL AND capacity_tokens > 0 AND tokenizer IS NOT NULL").distinct().limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS or any(r["capacity_tokens"] > MAX_CAPACITY for r in rows):
         raise ValueError(f"at most {MAX_TARGETS} targets of at most {MAX_CAPACITY} tokens")
-    return sorted({r["pack_id"]: r for r in rows if vocab.counter(r["tokenizer"], folder)}.values(), key=lambda r: r["pack_id"])
+    usable = [r for r in rows if vocab.counter(r["tokenizer"], folder)]
+    one: dict[int, Row] = {}
+    for r in sorted(usable, key=lambda r: (r["pack_id"], -r["capacity_tokens"], r["tokenizer"])):
+        one.setdefault(r["pack_id"], r)
+    return list(one.values())
 
 
 SCHEMA = "pack_id int, doc_id bigint, part_no int, n_tokens bigint, bin_id bigint"
@@ -185,9 +192,9 @@ def pack(docs: DataFrame, targets: DataFrame, folder: str = vocab.FOLDER) -> Dat
     return numbered.mapInPandas(place, SCHEMA)
 
 
-def fill(packed: DataFrame, targets: DataFrame) -> DataFrame:
+def fill(packed: DataFrame, targets: DataFrame, folder: str = vocab.FOLDER) -> DataFrame:
     """Per target: containers, items, tokens, the least number of containers that could hold them, and the share filled."""
-    caps = targets.where("pack_id IS NOT NULL").groupBy("pack_id").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
+    caps = packed.sparkSession.createDataFrame([(r["pack_id"], r["capacity_tokens"]) for r in targets_of(targets, folder)], "pack_id int, capacity_tokens bigint")
     per = packed.groupBy("pack_id", "bin_id").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"))
     per = per.groupBy("pack_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
     return per.join(caps, "pack_id").select("pack_id", "capacity_tokens", "bins", "items", "tokens", "fullest", F.expr("(tokens + capacity_tokens - 1) div capacity_tokens").alias("least_bins"), F.expr("CAST(tokens AS DOUBLE) / (bins * capacity_tokens)").alias("filled"))

@@ -50,16 +50,18 @@ def test_equal_to_public_encoder_and_back(spark, name):
     assert {r["doc_id"]: r["text"] for r in decode(df, name).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(module, "BROADCAST_WORDS", 3)
+def test_vocabulary_joined(spark, monkeypatch):
+    monkeypatch.setattr(module, "LITERAL_WORDS", 3)
     got = {r["doc_id"]: r["ids"] for r in encode(frame(spark, TEXTS)).collect()}
     assert got == {i: want()(t) for i, t in enumerate(TEXTS)}
 
 
-def test_repeated_and_clashing_ids(spark):
+@pytest.mark.parametrize("most", [0, 100])
+def test_repeated_and_clashing_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(module, "LITERAL_WORDS", most)
     df = spark.createDataFrame([(1, "one two"), (1, "one two"), (1, "three"), (None, "four"), (None, None)], "doc_id bigint, text string")
     got = sorted(((r["doc_id"], r["ids"]) for r in encode(df).collect()), key=repr)
-    assert got == sorted([(1, want()("one two")), (1, want()("three")), (None, want()("four")), (None, [])], key=repr)
+    assert got == sorted([(1, want()("one two")), (1, want()("one two")), (1, want()("three")), (None, want()("four")), (None, [])], key=repr)
 
 
 def test_empty_table(spark):

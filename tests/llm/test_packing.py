@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dyadica.llm import packing, vocab
-from dyadica.llm.packing import fill, pack, plan
+from dyadica.llm.packing import fill, pack, plan, targets_of
 
 
 def unpacked(runs):
@@ -86,3 +86,19 @@ def test_pack(spark, monkeypatch):
     f = {r["pack_id"]: r for r in fill(pack(docs, targets), targets).collect()}
     assert set(f) == {1, 2} and all(r["fullest"] <= r["capacity_tokens"] and r["bins"] >= r["least_bins"] for r in f.values())
     assert pack(docs.where("false"), targets).count() == 0 and pack(docs, targets.where("false")).count() == 0
+
+
+def test_repeated_targets(spark):
+    """The largest capacity of a usable tokenizer, whatever the order of the rows."""
+    rows = [(1, "byte_bpe_50k", 8), (1, "none", 99), (1, "byte_bpe_multi_50k", 16), (1, "byte_bpe_50k", 16), (1, "byte_bpe_50k", 8), (None, "byte_bpe_50k", 4), (2, None, 4), (3, "byte_bpe_50k", 0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "pack_id int, tokenizer string, capacity_tokens int")
+        assert [tuple(r) for r in targets_of(df)] == [(1, "byte_bpe_50k", 16)]
+
+
+def test_plan_of_many_sizes_is_quick():
+    import time
+
+    began = time.time()
+    runs, bins = plan({s: 1 + s % 3 for s in range(1, 65537)}, 65536)
+    assert time.time() - began < 20 and bins >= -(-sum(s * (1 + s % 3) for s in range(1, 65537)) // 65536)
