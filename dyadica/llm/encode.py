@@ -105,7 +105,7 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", *, doc_id: str = "doc_id
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     distinct = rows.select(F.explode("words").alias("word")).distinct().repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "word")
-    known = stored(encode_words(distinct, name, folder))
+    known = stored(encode_words(stored(distinct), name, folder))  # the words are written, as short and long ones are read apart
     size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("b")).first()
     if size["n"] <= LITERAL_WORDS and (size["b"] or 0) <= LITERAL_BYTES:
         ids = _literal(((r["k"], r["ids"]) for r in known.select(_short(F.col("word")).alias("k"), "ids").collect()), "array<int>")
