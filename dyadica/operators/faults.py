@@ -31,14 +31,14 @@ def surviving_tasks(scheme: DataFrame, groups: DataFrame) -> DataFrame:
     return scheme.join(groups.select("group_no").distinct(), "group_no", "left_anti")
 
 
-def split_faults(scheme: DataFrame, faulty: DataFrame) -> DataFrame:
-    """The faulty grids with ``recompute``: those below the top two diagonals are computed again, the others left to new coefficients."""
+def split_faults(scheme: DataFrame, faulty: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The faulty grids with ``recompute``: those below the top two diagonals of the scheme, or of their own of several told apart by ``by``, are computed again, the others left to new coefficients."""
     from dyadica.functions import levels as L
 
-    top = scheme.agg(F.max(L.total(F.col("level"))).alias("_top"))
-    hit = scheme.join(faulty.select("task_id").distinct(), "task_id", "left_semi")
-    most = top.first()["_top"]
-    return hit.withColumn("recompute", L.total(F.col("level")) < F.lit(most) - 1)
+    own = F.lit(0) if not by else F.struct(*by)
+    top = scheme.groupBy(own.alias("_own")).agg(F.max(L.total(F.col("level"))).alias("_top"))
+    hit = scheme.join(faulty.select(*(by or []), "task_id").distinct(), [*(by or []), "task_id"], "left_semi").withColumn("_own", own)
+    return hit.join(top, "_own").withColumn("recompute", L.total(F.col("level")) < F.col("_top") - 1).drop("_own", "_top")
 
 
 # The recovery of coefficients looks at the levels of one scheme: a small set, on the driver.

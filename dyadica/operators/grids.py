@@ -120,6 +120,11 @@ def default_cuts(points: int, parts: int) -> list[int]:
     return [k * small + min(k, more) for k in range(parts)]
 
 
+def standard_cuts(level: list[int], parts: list[int]) -> list[list[int]]:
+    """The standard decomposition of a grid: block k of a dimension starts at k * 2^l / parts + 1, the first at 0."""
+    return [[0] + [k * (1 << l) // p + 1 for k in range(1, p)] for l, p in zip(level, parts)]
+
+
 def downsampled_cuts(cuts: list[list[int]], reference: list[int], level: list[int]) -> list[list[int]]:
     """The cuts on a coarser level: the first index at or above each, by coordinate (boundary 2)."""
     return [[-(-x // (1 << (r - l))) for x in c] for c, r, l in zip(cuts, reference, level)]

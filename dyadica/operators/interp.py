@@ -83,22 +83,24 @@ def random_points(spark, count: int, dim: int, seed: int = 0, low: float = 0.0,
     return spark.range(count).select(F.col("id").alias("pt_id"), F.array(*x).alias("coords"))
 
 
-def mc_errors(values: DataFrame, exact: DataFrame) -> DataFrame:
-    """Greatest, mean and mean square deviation from the exact values, and each relative to the exact size."""
-    j = values.select("pt_id", F.col("value").alias("v")).join(exact.select("pt_id", F.col("value").alias("e")), "pt_id")
+def mc_errors(values: DataFrame, exact: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Greatest, mean and mean square deviation from the exact values, of each of ``by``, and each relative to the exact size."""
+    by = by or []
+    j = values.select(*by, "pt_id", F.col("value").alias("v")).join(exact.select("pt_id", F.col("value").alias("e")), "pt_id")
     d, e = F.abs(F.col("v") - F.col("e")), F.abs("e")
-    s = j.agg(F.count(F.lit(1)).alias("n"), F.max(d).alias("linf"), F.avg(d).alias("l1"), F.avg(d * d).alias("l2"), F.max(e).alias("e_linf"), F.avg(e).alias("e_l1"), F.avg(e * e).alias("e_l2"))
-    return s.select("n", "linf", "l1", "l2", *[F.when(F.col(f"e_{x}") != 0, F.col(x) / F.col(f"e_{x}")).alias(f"rel_{x}") for x in ("linf", "l1", "l2")])
+    s = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(d).alias("linf"), F.avg(d).alias("l1"), F.avg(d * d).alias("l2"), F.max(e).alias("e_linf"), F.avg(e).alias("e_l1"), F.avg(e * e).alias("e_l2"))
+    return s.select(*by, "n", "linf", "l1", "l2", *[F.when(F.col(f"e_{x}") != 0, F.col(x) / F.col(f"e_{x}")).alias(f"rel_{x}") for x in ("linf", "l1", "l2")])
 
 
-def moments(values: DataFrame, points: DataFrame, dim: int) -> DataFrame:
+def moments(values: DataFrame, points: DataFrame, dim: int, by: list[str] | None = None) -> DataFrame:
     """Monte Carlo mass and momenta: the means of f, of each x_d f and of the product of all x times f."""
-    j = values.select("pt_id", "value").join(points.select("pt_id", "coords"), "pt_id")
+    by = by or []
+    j = values.select(*by, "pt_id", "value").join(points.select("pt_id", "coords"), "pt_id")
     x = [F.get("coords", F.lit(d)) for d in range(dim)]
     prod = F.lit(1.0)
     for c in x:
         prod = prod * c
-    return j.agg(F.avg("value").alias("mass"), *[F.avg(c * F.col("value")).alias(f"momentum_{d}") for d, c in enumerate(x)], F.avg(prod * F.col("value")).alias("momentum_all"))
+    return j.groupBy(*by).agg(F.avg("value").alias("mass"), *[F.avg(c * F.col("value")).alias(f"momentum_{d}") for d, c in enumerate(x)], F.avg(prod * F.col("value")).alias("momentum_all"))
 
 
 def stretched(coords, source: int, target: int):

@@ -37,14 +37,18 @@ def anisotropy_load(level: Column) -> Column:
     return F.when(size > 0, (SCALE * F.pow(linear_load(level), F.lit(POWER)) + OFFSET) * h)
 
 
-def last_n(stats: DataFrame, n: int, scheme: DataFrame | None = None) -> DataFrame:
-    """task_id, load, readings: the mean of the last ``n`` durations above 0 of each task, by simulated time.
+#: Durations beyond which no step can have taken, in microseconds (ten years): no part of a history.
+LONGEST = 315_576_000_000_000
+
+
+def last_n(stats: DataFrame, n: int, scheme: DataFrame | None = None, longest: int = LONGEST) -> DataFrame:
+    """task_id, load, readings: the mean of the last ``n`` durations from 1 to ``longest`` of each task, by simulated time.
 
     Repeated readings count once. With ``scheme`` every task appears: one without history has the linear load and 0
     readings. Ties of time are broken by ``stat_id``. A hot task keeps only its last n rows in each task before the shuffle
     (a group limit that Spark derives from the rank filter).
     """
-    once = stats.where("task_id IS NOT NULL AND duration_us > 0 AND sim_time IS NOT NULL AND NOT isnan(sim_time)").groupBy("task_id", "stat_id").agg(F.min("duration_us").alias("duration_us"), F.min("sim_time").alias("sim_time"))
+    once = stats.where("task_id IS NOT NULL AND sim_time IS NOT NULL AND NOT isnan(sim_time)").where(F.col("duration_us").between(1, longest)).groupBy("task_id", "stat_id").agg(F.min("duration_us").alias("duration_us"), F.min("sim_time").alias("sim_time"))
     w = Window.partitionBy("task_id").orderBy(F.desc("sim_time"), F.desc("stat_id"))
     mean = once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy("task_id").agg(F.avg("duration_us").alias("load"), F.count(F.lit(1)).alias("readings"))
     if scheme is None:
@@ -54,9 +58,9 @@ def last_n(stats: DataFrame, n: int, scheme: DataFrame | None = None) -> DataFra
     return tasks_of(scheme).join(mean, "task_id", "left").select("task_id", F.coalesce("load", linear_load(F.col("level"))).alias("load"), F.coalesce("readings", F.lit(0)).alias("readings"))
 
 
-def averages(stats: DataFrame) -> DataFrame:
-    """task_id, load, readings: the mean of all durations above 0, each reading once."""
-    once = stats.where("task_id IS NOT NULL AND duration_us > 0").groupBy("task_id", "stat_id").agg(F.min("duration_us").alias("duration_us"))
+def averages(stats: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """task_id, load, readings: the mean of all durations from 1 to ``longest``, each reading once."""
+    once = stats.where("task_id IS NOT NULL").where(F.col("duration_us").between(1, longest)).groupBy("task_id", "stat_id").agg(F.min("duration_us").alias("duration_us"))
     return once.groupBy("task_id").agg(F.avg("duration_us").alias("load"), F.count(F.lit(1)).alias("readings"))
 
 

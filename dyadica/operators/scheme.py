@@ -269,14 +269,14 @@ def nearest_neighbours(levels: list[tuple[int, ...]], k: int = 1) -> dict[tuple[
     return {a: sorted((b for b in levels if b != a), key=lambda b: (sum(abs(x - y) for x, y in zip(a, b)), b))[:k] for a in levels}
 
 
-def hierarchical_weights(scheme: DataFrame) -> DataFrame:
-    """w of each level under the scheme: the sum of the coefficients of the grids at or above it."""
-    return scheme.select(F.explode(box_below(F.col("level"))).alias("sub"), "coeff").groupBy("sub").agg(F.sum("coeff").alias("w")).withColumnRenamed("sub", "level")
+def hierarchical_weights(scheme: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """w of each level under the scheme, or each of the schemes told apart by ``by``: the sum of the coefficients of the grids at or above it."""
+    return scheme.select(*(by or []), F.explode(box_below(F.col("level"))).alias("sub"), "coeff").groupBy(*(by or []), "sub").agg(F.sum("coeff").alias("w")).withColumnRenamed("sub", "level")
 
 
-def objective(weights: DataFrame) -> DataFrame:
+def objective(weights: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sum of 4^-|l| * w."""
-    return weights.agg(F.sum(F.pow(F.lit(4.0), -L.total(F.col("level"))) * F.col("w")).alias("q"))
+    return weights.groupBy(*(by or [])).agg(F.sum(F.pow(F.lit(4.0), -L.total(F.col("level"))) * F.col("w")).alias("q"))
 
 
 def assigned_by_size(scheme: DataFrame, groups: int) -> DataFrame:

@@ -69,12 +69,13 @@ def imbalance(events: DataFrame, io_events: DataFrame | None = None) -> DataFram
     return per.groupBy("event").agg(F.count(F.lit(1)).alias("ranks"), (F.max("m") / F.avg("m")).alias("imbalance"), F.max_by("rank", F.struct(F.col("m"), -F.col("rank"))).alias("slowest"))
 
 
-def systems_sum(*systems: DataFrame) -> DataFrame:
-    """pt_id, value: the values that several systems have at the same points, added up."""
-    out = systems[0].select("pt_id", "value")
+def systems_sum(*systems: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """pt_id, value: the values that several systems have at the same points, of each of ``by``, added up."""
+    key = [*(by or []), "pt_id"]
+    out = systems[0].select(*key, "value")
     for s in systems[1:]:
-        out = out.unionByName(s.select("pt_id", "value"))
-    return out.groupBy("pt_id").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("systems"))
+        out = out.unionByName(s.select(*key, "value"))
+    return out.groupBy(*key).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("systems"))
 
 
 def diagnostics(lines: DataFrame, coefficients: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from dyadica.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+BY = ["scheme_id"]
 
 
 def query(sql: str | None = None):
@@ -186,17 +187,17 @@ def scheme_spanned(spark: SparkSession, d: str) -> DataFrame:
     return scheme.spanned(spark, scheme.tilted_plane_set([1.0, 2.0], [3.0, 2.0])).select(*parts("level", 2, "l"), "coeff")
 
 
-_W = _S + ", w AS (SELECT l0, l1, sum(coeff) AS w FROM sch, range(1, 20) a(l0), range(1, 20) b(l1) WHERE scheme_id = 1 AND l0 <= level[1] AND l1 <= level[2] GROUP BY 1, 2)"
+_W = _S + ", w AS (SELECT scheme_id, l0, l1, sum(coeff) AS w FROM sch, range(1, 20) a(l0), range(1, 20) b(l1) WHERE len(level) = 2 AND l0 <= level[1] AND l1 <= level[2] GROUP BY 1, 2, 3)"
 
 
-@query(_W + " SELECT l0, l1, w FROM w")
+@query(_W + f" SELECT scheme_id, l0, l1, {R('w')} AS w FROM w")
 def scheme_weights(spark: SparkSession, d: str) -> DataFrame:
-    return scheme.hierarchical_weights(schemes(spark, d).where("scheme_id = 1")).select(*parts("level", 2, "l"), "w")
+    return scheme.hierarchical_weights(schemes(spark, d).where("size(level) = 2"), BY).select("scheme_id", *parts("level", 2, "l"), round9(F.col("w")).alias("w"))
 
 
-@query(_W + f" SELECT {R('sum(w * 4.0 ** -(l0 + l1))')} AS q FROM w")
+@query(_S + f" SELECT scheme_id, {R('sum(coeff * list_product(list_transform(level, lambda x: (1 - 4.0 ** -x) / 3)))')} AS q FROM sch GROUP BY 1")
 def scheme_objective(spark: SparkSession, d: str) -> DataFrame:
-    return scheme.objective(scheme.hierarchical_weights(schemes(spark, d).where("scheme_id = 1"))).select(round9(F.col("q")).alias("q"))
+    return scheme.objective(scheme.hierarchical_weights(schemes(spark, d), BY), BY).select("scheme_id", round9(F.col("q")).alias("q"))
 
 
 # ---- grids ----
@@ -262,12 +263,17 @@ def hist_grid_2d(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.floor(F.col("l_quantity") / 51.0 * 8).alias("i0"), F.floor(F.col("l_discount") / 0.11 * 8).alias("i1")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-_FILL = _S + ", g AS (SELECT task_id, i0, i1, level[1] AS l0, level[2] AS l1, 1 + CAST(i0 AS DOUBLE) / (1::BIGINT << level[1]) + 2 * (CAST(i1 AS DOUBLE) / (1::BIGINT << level[2])) AS value FROM sch, range(0, 600) a(i0), range(0, 600) b(i1) WHERE scheme_id = 1 AND i0 <= (1::BIGINT << level[1]) AND i1 <= (1::BIGINT << level[2]))"
+_FILL = _S + ", g AS (SELECT task_id, i0, i1, level[1] AS l0, level[2] AS l1, 1 + CAST(i0 AS DOUBLE) / (1::BIGINT << level[1]) + 2 * (CAST(i1 AS DOUBLE) / (1::BIGINT << level[2])) AS value FROM (SELECT * FROM tasks WHERE len(level) = 2), range(0, 600) a(i0), range(0, 600) b(i1) WHERE i0 <= (1::BIGINT << level[1]) AND i1 <= (1::BIGINT << level[2]))"
+
+
+def planar(spark: SparkSession, d: str) -> DataFrame:
+    """The two-dimensional grids of all schemes, with a field."""
+    return grids.tasks_of(table(spark, d, "scheme")).where("size(level) = 2").select("task_id", "level", F.lit(0).alias("field_id"))
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    s = schemes(spark, d).where("scheme_id = 1").select("task_id", "level", F.lit(0).alias("field_id"))
-    return grids.filled(s, 2, grids.hyperplane)
+    """A plane on every two-dimensional grid."""
+    return grids.filled(planar(spark, d), 2, grids.hyperplane)
 
 
 @query(_FILL + f" SELECT task_id, i0, i1, {R('value')} AS value FROM g")
@@ -346,17 +352,17 @@ def resampled(spark: SparkSession, d: str) -> DataFrame:
     return interp.resampled(grid, tasks, [2, 2], 2).select("task_id", "field_id", *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
 
 
-@query(_COMBINED + f", x AS (SELECT m.value AS v, 1 + coords[1] + 2 * coords[2] AS ex FROM m JOIN query_points USING (pt_id) WHERE scheme_id = 1 AND field_id = 0 AND value IS NOT NULL) SELECT count(*) AS n, {R('max(abs(v - ex))')} AS linf, {R('avg(abs(v - ex))')} AS l1, {R('avg((v - ex) * (v - ex))')} AS l2, {R('max(abs(v - ex)) / max(abs(ex))')} AS rel_linf FROM x")
+@query(_COMBINED + f", x AS (SELECT scheme_id, field_id, m.value AS v, 1 + coords[1] + 2 * coords[2] AS ex FROM m JOIN query_points USING (pt_id) WHERE value IS NOT NULL) SELECT scheme_id, field_id, count(*) AS n, {R('max(abs(v - ex))')} AS linf, {R('avg(abs(v - ex))')} AS l1, {R('avg((v - ex) * (v - ex))')} AS l2, {R('max(abs(v - ex)) / max(abs(ex))')} AS rel_linf FROM x GROUP BY 1, 2")
 def mc_errors(spark: SparkSession, d: str) -> DataFrame:
-    v = combined_values(spark, d).where("scheme_id = 1 AND field_id = 0 AND value IS NOT NULL")
+    v = combined_values(spark, d).where("value IS NOT NULL")
     exact = table(spark, d, "query_points").select("pt_id", grids.hyperplane([F.get("coords", F.lit(0)), F.get("coords", F.lit(1))]).alias("value"))
-    return interp.mc_errors(v, exact).select("n", *[round9(F.col(c)).alias(c) for c in ("linf", "l1", "l2", "rel_linf")])
+    return interp.mc_errors(v, exact, [*BY, "field_id"]).select(*BY, "field_id", "n", *[round9(F.col(c)).alias(c) for c in ("linf", "l1", "l2", "rel_linf")])
 
 
-@query(_COMBINED + f" SELECT {R('avg(value)')} AS mass, {R('avg(coords[1] * value)')} AS momentum_0, {R('avg(coords[2] * value)')} AS momentum_1, {R('avg(coords[1] * coords[2] * value)')} AS momentum_all FROM m JOIN query_points USING (pt_id) WHERE scheme_id = 1 AND field_id = 0")
+@query(_COMBINED + f" SELECT scheme_id, field_id, {R('avg(value)')} AS mass, {R('avg(coords[1] * value)')} AS momentum_0, {R('avg(coords[2] * value)')} AS momentum_1, {R('avg(coords[1] * coords[2] * value)')} AS momentum_all FROM m JOIN query_points USING (pt_id) GROUP BY 1, 2")
 def mc_moments(spark: SparkSession, d: str) -> DataFrame:
-    m = interp.moments(combined_values(spark, d).where("scheme_id = 1 AND field_id = 0"), table(spark, d, "query_points"), 2)
-    return m.select(*[round9(F.col(c)).alias(c) for c in m.columns])
+    m = interp.moments(combined_values(spark, d), table(spark, d, "query_points"), 2, [*BY, "field_id"])
+    return m.select(*BY, "field_id", *[round9(F.col(c)).alias(c) for c in m.columns[2:]])
 
 
 @query(_COMBINED + f" SELECT field_id, count(value) AS n, {R('max(abs(value))')} AS linf, {R('sum(abs(value)) / count(value)')} AS l1, {R('sqrt(sum(value * value)) / count(value)')} AS l2 FROM m GROUP BY 1")
@@ -366,11 +372,11 @@ def mc_norms(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("field_id").agg(F.count(c).alias("n"), round9(F.max(F.abs(c))).alias("linf"), round9(F.sum(F.abs(c)) / F.count(c)).alias("l1"), round9(F.sqrt(F.sum(c * c)) / F.count(c)).alias("l2"))
 
 
-@query(_COMBINED + f" SELECT pt_id, {R('sum(value)')} AS value, count(*) AS systems FROM m WHERE scheme_id = 1 GROUP BY 1")
+@query(_COMBINED + f" SELECT scheme_id, pt_id, {R('sum(value)')} AS value, count(*) AS systems FROM m GROUP BY 1, 2")
 def systems_sum(spark: SparkSession, d: str) -> DataFrame:
     """The two fields of a scheme as the results of two systems, added at the same points."""
-    v = combined_values(spark, d).where("scheme_id = 1")
-    return stats.systems_sum(v.where("field_id = 0"), v.where("field_id = 1")).select("pt_id", round9(F.col("value")).alias("value"), "systems")
+    v = combined_values(spark, d)
+    return stats.systems_sum(v.where("field_id = 0"), v.where("field_id <> 0"), by=BY).select(*BY, "pt_id", round9(F.col("value")).alias("value"), "systems")
 
 
 @query()
@@ -451,13 +457,13 @@ def dehierarchize_hat(spark: SparkSession, d: str) -> DataFrame:
     return transform.dehierarchize(transform.hierarchize(whole, 2), 2).select("task_id", "field_id", *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
 
 
-_RT = " UNION ALL ".join(f"SELECT '{b}' AS basis, task_id, 0.0::DOUBLE AS deviation FROM sch WHERE scheme_id = 1" for b in (*transform.BASES, "hat_open"))
+_RT = " UNION ALL ".join(f"SELECT '{b}' AS basis, task_id, 0.0::DOUBLE AS deviation FROM tasks WHERE len(level) = 2" for b in (*transform.BASES, "hat_open"))
 
 
 @query(_S + " " + _RT)
 def transform_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The largest deviation after every transform and its inverse, for all bases and kinds of boundary."""
-    s = schemes(spark, d).where("scheme_id = 1").select("task_id", "level", F.lit(0).alias("field_id"))
+    s = planar(spark, d)
     out = None
     for name in (*transform.BASES, "hat_open"):
         basis, boundary = ("hat", 0) if name == "hat_open" else (name, 1 if name.endswith("_periodic") else 2)
@@ -505,7 +511,6 @@ _TOP = (
     + "sg AS (SELECT scheme_id, field_id, k0, k1, s0, s1, sum(coeff * value) AS value FROM keyed GROUP BY ALL)"
 )
 _SG = _HAT + _TOP
-BY = ["scheme_id"]
 
 
 def keyed(spark: SparkSession, d: str) -> DataFrame:
@@ -565,18 +570,18 @@ def sparse_chunk(spark: SparkSession, d: str) -> DataFrame:
     return combine.below(sparse(spark, d), [3, 3]).select("scheme_id", "field_id", *parts("x_key", 2, "k"), round9(F.col("value")).alias("value"))
 
 
-_PLANE = _FILL.replace(", g AS", ", plane AS") + ", tgt AS (SELECT CAST(max(level[1]) AS BIGINT) AS a, CAST(max(level[2]) AS BIGINT) AS b FROM sch WHERE scheme_id = 1)"
+_PLANE = _S + ", tgt AS (SELECT scheme_id, CAST(max(level[1]) AS BIGINT) AS a, CAST(max(level[2]) AS BIGINT) AS b FROM sch WHERE len(level) = 2 GROUP BY 1)"
 
 
-@query(_PLANE + f" SELECT i0, i1, {R('1 + CAST(i0 AS DOUBLE) / (1::BIGINT << a) + 2 * (CAST(i1 AS DOUBLE) / (1::BIGINT << b))')} AS value FROM tgt, range(0, 600) x(i0), range(0, 600) y(i1) WHERE i0 <= (1::BIGINT << a) AND i1 <= (1::BIGINT << b)")
+@query(_PLANE + f" SELECT scheme_id, i0, i1, {R('1 + CAST(i0 AS DOUBLE) / (1::BIGINT << a) + 2 * (CAST(i1 AS DOUBLE) / (1::BIGINT << b))')} AS value FROM tgt, range(0, 600) x(i0), range(0, 600) y(i1) WHERE i0 <= (1::BIGINT << a) AND i1 <= (1::BIGINT << b)")
 def combine_on_level(spark: SparkSession, d: str) -> DataFrame:
-    """A plane on the grids of a scheme, combined and evaluated on the finest grid: every grid holds it, so it comes back."""
-    s = schemes(spark, d).where("scheme_id = 1")
+    """A plane on the grids of each scheme, combined and evaluated on the scheme's finest grid: every grid holds it, so it comes back."""
+    s = schemes(spark, d).where("size(level) = 2")
     tops = combine.references(s, BY, 2)
     k = combine.keyed(transform.hierarchize(filled(spark, d), 2).join(s.select("task_id", "scheme_id", "coeff"), "task_id").join(tops, BY))
-    target = tops.select("scheme_id", "top", F.col("top").alias("level"), F.lit(0).cast("bigint").alias("task_id"))
+    target = tops.select("scheme_id", "top", F.col("top").alias("level"), F.col("scheme_id").alias("task_id"))
     full = combine.onto(combine.gather(k, BY), target, 2, BY)
-    return transform.dehierarchize(full.select("task_id", "field_id", "idx", "value", "level"), 2).select(*parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
+    return transform.dehierarchize(full.select("task_id", "field_id", "idx", "value", "level"), 2).select(F.col("task_id").alias("scheme_id"), *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
 
 
 _TWO = _SIZES + ", a AS (SELECT s0, s1, max(n) AS n_points FROM per WHERE task_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT s0, s1, max(n) AS n_points FROM per WHERE task_id % 2 = 1 GROUP BY 1, 2)"
@@ -601,10 +606,10 @@ def common_sizes(spark: SparkSession, d: str) -> DataFrame:
     return combine.common_sizes(*_two(spark, d)).select(*parts("sub_level", 2, "s"), "n_points")
 
 
-@query(_SG + f" SELECT scheme_id, field_id, k0, k1, {R('2 * value')} AS value FROM sg WHERE scheme_id = 1")
+@query(_SG + f" SELECT scheme_id, field_id, k0, k1, {R('2 * value')} AS value FROM sg")
 def dump_read_reduce(spark: SparkSession, d: str) -> DataFrame:
     """A sparse grid written, compressed, by two systems, read back and added up."""
-    one = sparse(spark, d).where("scheme_id = 1")
+    one = stored(sparse(spark, d))  # it is written twice
     path = io.scratch(spark, "dump")
     io.write_sparse(one, f"{path}/a")
     io.write_sparse(one, f"{path}/b")
@@ -616,6 +621,7 @@ def dump_read_reduce(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SHARES = ", sh AS (SELECT task_id, 1::BIGINT << CAST(list_sum(level) AS BIGINT) AS n, level[1] / list_sum(level) AS x, level[3] / list_sum(level) AS y, level[4] / list_sum(level) AS z FROM tasks)"
+# fixed values of the published load model
 _POLY = "2.6451 - 10.7883 * x - 0.8959 * y - 0.4814 * z + 15.345 * x * x + 1.0204 * x * y + 2.9396 * x * z + 2.3668 * y * y - 1.1119 * y * z + 0.3434 * z * z"
 
 
@@ -625,22 +631,21 @@ def load_models(spark: SparkSession, d: str) -> DataFrame:
     return grids.tasks_of(table(spark, d, "scheme")).select("task_id", sched.linear_load(l).alias("linear"), round9(sched.anisotropy_load(l)).alias("anisotropic"))
 
 
-_ONCE = "once AS (SELECT task_id, stat_id, min(duration_us) AS v, min(sim_time) AS t FROM task_stats WHERE task_id IS NOT NULL AND duration_us > 0 AND duration_us < 1000000000000 AND sim_time IS NOT NULL AND NOT isnan(sim_time) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t DESC, stat_id DESC) AS r FROM once), n AS (SELECT task_id, avg(v) AS load, count(*) AS readings FROM k WHERE r <= 5 GROUP BY 1)"
+_ONCE = "once AS (SELECT task_id, stat_id, min(duration_us) AS v, min(sim_time) AS t FROM task_stats WHERE task_id IS NOT NULL AND duration_us BETWEEN 1 AND 315576000000000 AND sim_time IS NOT NULL AND NOT isnan(sim_time) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t DESC, stat_id DESC) AS r FROM once), n AS (SELECT task_id, avg(v) AS load, count(*) AS readings FROM k WHERE r <= 5 GROUP BY 1)"
 
 
 @query(_S + f", {_ONCE} SELECT tasks.task_id, round(coalesce(load, CAST(1::BIGINT << CAST(list_sum(level) AS BIGINT) AS DOUBLE)), 3) AS load, coalesce(readings, 0) AS readings FROM tasks LEFT JOIN n USING (task_id)")
 def load_last_n(spark: SparkSession, d: str) -> DataFrame:
-    """Durations below 10^12, as no step takes twelve days."""
-    return sched.last_n(table(spark, d, "task_stats").where("duration_us < 1000000000000"), 5, table(spark, d, "scheme")).select("task_id", F.round("load", 3).alias("load"), "readings")
+    return sched.last_n(table(spark, d, "task_stats"), 5, table(spark, d, "scheme")).select("task_id", F.round("load", 3).alias("load"), "readings")
 
 
-_AVG = "a AS (SELECT task_id, avg(v) AS load FROM (SELECT task_id, stat_id, min(duration_us) AS v FROM task_stats WHERE task_id IS NOT NULL AND duration_us > 0 AND duration_us < 1000000000000 GROUP BY 1, 2) GROUP BY 1)"
+_AVG = "a AS (SELECT task_id, avg(v) AS load FROM (SELECT task_id, stat_id, min(duration_us) AS v FROM task_stats WHERE task_id IS NOT NULL AND duration_us BETWEEN 1 AND 315576000000000 GROUP BY 1, 2) GROUP BY 1)"
 
 
 @query(f"WITH {_AVG} SELECT task_id, round(load, 3) AS load, row_number() OVER (ORDER BY load DESC, task_id) AS place FROM a")
 def dispatch_order(spark: SparkSession, d: str) -> DataFrame:
-    """Mean durations below 10^12, and the order in which the tasks are handed out."""
-    mean = sched.averages(table(spark, d, "task_stats").where("duration_us < 1000000000000"))
+    """Mean durations, and the order in which the tasks are handed out."""
+    mean = sched.averages(table(spark, d, "task_stats"))
     return sched.dispatch_order(mean).select("task_id", F.round("load", 3).alias("load"), F.col("place").cast("bigint").alias("place"))
 
 
@@ -648,7 +653,7 @@ def dispatch_order(spark: SparkSession, d: str) -> DataFrame:
 def rebalanced(spark: SparkSession, d: str) -> DataFrame:
     """The moves that even out eight groups by the tasks' mean durations."""
     t = scheme.round_robin(grids.tasks_of(table(spark, d, "scheme")), 8)
-    mean = sched.averages(table(spark, d, "task_stats").where("duration_us < 1000000000000"))
+    mean = sched.averages(table(spark, d, "task_stats"))
     limit = 1_000_000
     rows = t.join(mean, "task_id").select("task_id", "group", "load").limit(limit + 1).collect()
     if len(rows) > limit:
@@ -669,15 +674,26 @@ def faults_static(spark: SparkSession, d: str) -> DataFrame:
     return faults.static_faults(steps, plan).select("rank", "step", "t_start_us")
 
 
-@query(_S + " SELECT task_id, list_sum(level) < (SELECT max(list_sum(level)) FROM sch WHERE scheme_id = 1) - 1 AS recompute FROM sch WHERE scheme_id = 1 AND task_id % 2 = 1")
+@query(_S + ", t AS (SELECT scheme_id, max(list_sum(level)) AS top FROM sch GROUP BY 1) SELECT scheme_id, task_id, list_sum(level) < top - 1 AS recompute FROM sch JOIN t USING (scheme_id) WHERE group_no = 0")
 def faults_split(spark: SparkSession, d: str) -> DataFrame:
-    s = schemes(spark, d).where("scheme_id = 1")
-    return faults.split_faults(s, s.where("task_id % 2 = 1")).select("task_id", "recompute")
+    """Every scheme after the loss of group 0: which of its grids are computed again."""
+    s = schemes(spark, d)
+    lost = faults.failed_tasks(s, spark.createDataFrame([(0,)], "group_no int"))
+    return faults.split_faults(s, lost, BY).select("scheme_id", "task_id", "recompute")
 
 
-@query()
+def _recovered_sql(levels: list[tuple[int, int]], lost: list[tuple[int, int]]) -> str:
+    """All sets of weights are tried; a grid's coefficient is the sum of the weights one step above it, with alternating signs."""
+    w = {l: f"((m >> {i}) & 1)" for i, l in enumerate(levels)}
+    c = lambda l: " ".join(f"{s} {w[u]}" for s, u in (("+", l), ("-", (l[0] + 1, l[1])), ("-", (l[0], l[1] + 1)), ("+", (l[0] + 1, l[1] + 1))) if u in w)
+    best = f"SELECT m FROM range({1 << len(levels)}) t(m) WHERE {' AND '.join(f'{c(l)} = 0' for l in lost)} ORDER BY {' + '.join(f'{w[l]} * {4.0 ** -sum(l)}' for l in levels)} DESC LIMIT 1"
+    rows = " UNION ALL ".join(f"SELECT {a} AS l0, {b} AS l1, CAST({c((a, b))} AS DOUBLE) AS coeff FROM best" for a, b in levels)
+    return f"WITH best AS ({best}) SELECT CAST(l0 AS BIGINT) AS l0, CAST(l1 AS BIGINT) AS l1, coeff FROM ({rows}) WHERE coeff <> 0"
+
+
+@query(_recovered_sql([(a, b) for a in range(3, 7) for b in range(3, 7) if a + b <= 9], [(4, 5), (4, 4)]))
 def faults_recovered(spark: SparkSession, d: str) -> DataFrame:
-    """New coefficients for scheme 1 of 3..6 after the loss of two grids."""
+    """New coefficients for the scheme of 3..6 after the loss of two grids."""
     grid_levels = [tuple(r["level"]) for r in scheme.classical(spark, [3, 3], [6, 6]).collect()]
     c = faults.recovered(grid_levels, [(4, 5), (4, 4)])
     return spark.createDataFrame([(list(l), float(x)) for l, x in sorted(c.items())], scheme.SCHEME).select(*parts("level", 2, "l"), "coeff")
