@@ -90,6 +90,17 @@ def chunks(sizes: list[tuple[list[int], int]], budget: int) -> list[list[list[in
     return out
 
 
+def total_points(sizes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The points of all subspaces, or of those that ``only`` (sub_level) names."""
+    of = sizes if only is None else sizes.join(only.select("sub_level").distinct(), "sub_level", "left_semi")
+    return of.agg(F.coalesce(F.sum("n_points"), F.lit(0)).alias("n_points"))
+
+
+def conjoint(sparse: DataFrame, levels: DataFrame) -> DataFrame:
+    """The part of a sparse grid that lies in the subspaces of ``levels`` (level): the extra sparse grid two systems exchange. :func:`updated` copies it back."""
+    return sparse.join(levels.select(F.col("level").alias("sub_level")).distinct(), "sub_level", "left_semi")
+
+
 def updated(sparse: DataFrame, other: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``sparse`` with the values of ``other`` where it has any."""
     k = [*(by or []), *KEY]

@@ -109,6 +109,13 @@ def from_json(spark: SparkSession, path: str, lmin: list[int] | None = None, lma
     return df.withColumn("task_id", F.monotonically_increasing_id())
 
 
+def to_json(scheme: DataFrame, path: str) -> None:
+    """The scheme as one JSON array of ``{coeff, level, group_no?}``, as :func:`from_json` reads it; a scheme is small enough for one file."""
+    cols = ["level", "coeff", *(["group_no"] if "group_no" in scheme.columns else [])]
+    one = scheme.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*cols)))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
 def active_down_set(scheme: DataFrame, least: int = 1) -> DataFrame:
     """The levels under the grids whose coefficient is exactly 1."""
     return down_set(scheme.where("coeff = 1"), least)

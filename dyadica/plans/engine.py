@@ -7,6 +7,7 @@ executor costs one step at most.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -41,7 +42,10 @@ class Engine:
         self.events: list[tuple[int, int, str, int, int]] = []
         self.began = time.time()
         self.top = [max(r) for r in zip(*[r["level"] for r in self.scheme.select("level").distinct().collect()])]
+        # transforms stop at the lowest level that all grids have; see transform for grids without boundary
+        self.low = [min(a, *(r["level"][d] for r in self.scheme.select("level").distinct().collect())) for d, a in enumerate(config.lmin)]
         self.points: DataFrame | None = None
+        self.runs: list[tuple[int, int]] = []
 
     @contextmanager
     def timed(self, event: str) -> Iterator[None]:
@@ -65,10 +69,21 @@ class Engine:
 
     def run_next(self, solver: Solver) -> None:
         """A step of the solver on every grid."""
+        began = time.time()
         with self.timed("run"):
             self.points = cut(solver(self.points, self.step))
+        self.runs.append((self.step, int((time.time() - began) * 1e6)))
         self.step += 1
 
+    def task_stats(self) -> DataFrame:
+        """task_id, level, stat_id, sim_time, duration_us for the load models: what each step took, shared out by grid points, as all grids run in one job."""
+        sized = scheme.combi_dof(self.scheme.select("task_id", "level"), self.config.boundary[0])
+        total = sized.agg(F.sum("dof")).first()[0]
+        steps = F.from_json(F.lit(json.dumps([{"step": s, "took": t} for s, t in self.runs])), "array<struct<step:int,took:bigint>>")
+        each = sized.select("task_id", "level", "dof", F.inline(steps)).withColumn("_all", F.lit(total))
+        at = F.round(F.col("took") * F.col("dof") / F.col("_all")).cast("bigint")
+        return each.select("task_id", "level", F.xxhash64("task_id", "step").alias("stat_id"), ((F.col("step") + 1) * self.config.nsteps * self.config.dt).alias("sim_time"), at.alias("duration_us"))
+
     def update_scheme(self, scheme_df: DataFrame) -> None:
         """New coefficients or groups; grids that left the scheme are dropped, new ones filled from the sparse grid."""
         with self.timed("update scheme"):
@@ -89,10 +104,10 @@ class Engine:
     # -- combination
 
     def _hierarchical(self) -> DataFrame:
-        return transform.hierarchize(self.points, self.config.dim, self.bases, boundary=self.config.boundary)
+        return transform.hierarchize(self.points, self.config.dim, self.bases, boundary=self.config.boundary, lmin=self.low)
 
     def _nodal(self, points: DataFrame) -> DataFrame:
-        return transform.dehierarchize(points, self.config.dim, self.bases, boundary=self.config.boundary)
+        return transform.dehierarchize(points, self.config.dim, self.bases, boundary=self.config.boundary, lmin=self.low)
 
     def _keyed(self) -> DataFrame:
         return combine.keyed(self._hierarchical().join(self.scheme.select("task_id", "coeff"), "task_id").withColumn("top", L.vec(self.top)))
@@ -106,6 +121,24 @@ class Engine:
         """The combined hierarchical values: what is exchanged with other systems."""
         return self._gathered(self._keyed())
 
+    def combine_chunks(self) -> int:
+        """Combine as :meth:`combine` does, a chunk of subspaces of at most ``chunk_points`` points at a time; how many chunks there were.
+
+        The whole sparse grid is never there at once; each chunk's part of the grids is written before the next."""
+        with self.timed("combine"):
+            keyed = stored(self._keyed())
+            sizes = combine.subspaces(keyed).select("sub_level", "n_points").orderBy("sub_level").collect()  # a row for each subspace
+            chunks = combine.chunks([(r["sub_level"], r["n_points"]) for r in sizes], self.config.chunk_points)
+            back: DataFrame | None = None
+            for levels in chunks:
+                named = self.spark.createDataFrame([(x,) for x in levels], "sub_level array<int>")
+                part = keyed.join(named, "sub_level", "left_semi")
+                one = stored(combine.scatter(part, self._gathered(part)).select(*grids.POINT, "value", "level"))
+                back = one if back is None else back.unionByName(one)
+            if back is not None:
+                self.points = cut(self._nodal(back))
+        return len(chunks)
+
     def combine(self, *others: DataFrame) -> None:
         """Combine all grids, with the sparse grids of other systems if there are any, and write the result back to them."""
         if 0 in self.config.boundary:

@@ -788,3 +788,81 @@ def advection_step(spark: SparkSession, d: str) -> DataFrame:
     inner = F.forall(F.zip_with(i, l, lambda a, b: a < L.pow2(b)), lambda t: t)
     start = p.where(inner).withColumn("value", 1.0 + 0.5 * F.get("idx", F.lit(0)) / L.pow2(F.get("level", F.lit(0))))
     return solvers.advect(start, 2, 0.001).select("task_id", *parts("idx", 2, "i"), round9(F.col("value")).alias("value"))
+
+
+# ---- sources, sinks and runs ----
+
+
+@query(_S + " SELECT array_to_string(level, ' ') AS level, coeff, count(*) AS n FROM sch GROUP BY ALL")
+def scheme_json(spark: SparkSession, d: str) -> DataFrame:
+    """All grids written as a JSON scheme and read back."""
+    path = io.scratch(spark, "scheme")
+    scheme.to_json(schemes(spark, d).select("level", "coeff"), path)
+    return scheme.from_json(spark, path).groupBy(F.array_join(F.col("level").cast("array<string>"), " ").alias("level"), "coeff").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_S + " SELECT scheme_id, task_id FROM sch WHERE group_no IS NULL OR group_no <> 0")
+def faults_surviving(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every scheme after the loss of group 0."""
+    return faults.surviving_tasks(schemes(spark, d), spark.createDataFrame([(0,)], "group_no int")).select("scheme_id", "task_id")
+
+
+@query(_S + " SELECT task_id, field_id, i0 + i1 * (n0 + 1) AS position, value FROM p")
+def grid_gathered(spark: SparkSession, d: str) -> DataFrame:
+    return grids.gathered(points(spark, d).where("size(level) = 2")).select("task_id", "field_id", "position", "value")
+
+
+@query("SELECT rank, grp, event, t_start_us, t_end_us, count(*) AS n FROM timer_events GROUP BY ALL")
+def timers_files(spark: SparkSession, d: str) -> DataFrame:
+    """Timer events written as JSON lines and read back."""
+    path = io.scratch(spark, "timers")
+    io.write_timers(table(spark, d, "timer_events").select("rank", "grp", "event", "t_start_us", "t_end_us"), path)
+    return io.read_timers(spark, path).groupBy("rank", "grp", "event", "t_start_us", "t_end_us").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT array_to_string(level, ' ') AS level, round(avg(duration_us), 3) AS load, count(*) AS readings FROM task_stats WHERE level IS NOT NULL AND duration_us BETWEEN 1 AND 315576000000000 GROUP BY 1")
+def load_history(spark: SparkSession, d: str) -> DataFrame:
+    """Durations written as rows of level and number, read back as a history by level."""
+    path = io.scratch(spark, "history")
+    rows = table(spark, d, "task_stats").where(F.col("duration_us").between(1, sched.LONGEST)).where("level IS NOT NULL")
+    rows.select(F.array_join(F.col("level").cast("array<string>"), " ").alias("level"), "duration_us").write.csv(path)
+    return io.read_load_history(spark, path).select(F.array_join(F.col("level").cast("array<string>"), " ").alias("level"), F.round("load", 3).alias("load"), "readings")
+
+
+@query("SELECT pt_id, CAST(i - 1 AS INTEGER) AS d, coords[i] AS x FROM query_points, range(1, 9) t(i) WHERE i <= len(coords)")
+def coordinates_files(spark: SparkSession, d: str) -> DataFrame:
+    """Points written, read, laid flat, put together and laid flat again."""
+    path = io.scratch(spark, "points")
+    io.write_coordinates(table(spark, d, "query_points"), path)
+    return io.flat_coordinates(io.nested_coordinates(io.flat_coordinates(spark.read.parquet(path))))
+
+
+@query(_TWO + " SELECT s0, s1, least(coalesce(a.n_points, 0), coalesce(b.n_points, 0)) AS least, greatest(coalesce(a.n_points, 0), coalesce(b.n_points, 0)) AS largest, CASE WHEN a.n_points > 0 AND b.n_points > 0 THEN greatest(a.n_points, b.n_points) ELSE 0 END AS shared FROM a FULL JOIN b USING (s0, s1)")
+def sizes_files(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes files of two systems, reduced in three ways."""
+    path = io.scratch(spark, "sizes")
+    for name, s in zip("ab", _two(spark, d)):
+        io.write_sparse(s.select("sub_level", "n_points"), f"{path}/{name}")
+    made = {new: io.reduce_sizes(spark, [f"{path}/a", f"{path}/b"], how).select("sub_level", F.col("n_points").alias(new)) for new, how in (("least", "min"), ("largest", "max"), ("shared", "shared"))}
+    return made["least"].join(made["largest"], "sub_level").join(made["shared"], "sub_level").select(*parts("sub_level", 2, "s"), "least", "largest", "shared")
+
+
+@query(_SIZES + ", hold AS (SELECT s0, s1, count(DISTINCT group_no) AS k FROM keyed GROUP BY ALL), one AS (SELECT s0, s1, max(n) AS n FROM per GROUP BY 1, 2) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS all_points, CAST(coalesce(sum(n) FILTER (k > 1), 0) AS BIGINT) AS outgroup, CAST(coalesce(sum(n) FILTER (k = 1), 0) AS BIGINT) AS ingroup FROM one JOIN hold USING (s0, s1)")
+def sparse_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The points of all subspaces, of those that several groups hold, and of those that one does."""
+    k = keyed(spark, d)
+    sizes, held = combine.subspaces(k), combine.holders(k)
+    total = lambda only, name: combine.total_points(sizes, only).withColumnRenamed("n_points", name).withColumn("_one", F.lit(1))  # noqa: E731  # one row each
+    out = total(None, "all_points").join(total(combine.outgroup(held), "outgroup"), "_one").join(total(combine.ingroup(held), "ingroup"), "_one")
+    return out.drop("_one")
+
+
+@query("SELECT pt_id, CASE WHEN coords[1] BETWEEN 0 AND 1 AND coords[2] BETWEEN 0 AND 1 THEN " + R("1 + coords[1] + 2 * coords[2]") + " ELSE 0.0 END AS value FROM query_points WHERE len(coords) = 2")
+def run_combined(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run: grids with a plane, combined in chunks of subspaces, evaluated at the points; a plane comes back."""
+    from dyadica.plans.engine import Engine
+
+    run = Engine(spark, io.CombiConfig(lmin=[2, 2], lmax=[5, 5], boundary=[2, 2], chunk_points=400))
+    run.run_first(grids.hyperplane)
+    run.combine_chunks()
+    return run.interpolate(table(spark, d, "query_points")).select("pt_id", round9(F.col("value")).alias("value"))

@@ -47,8 +47,6 @@ def tables() -> dict[str, pa.Table]:
         "lineitem": cols([(k, k % 7 + 1, float(k % 50), 100.0 * k, (k % 11) / 100, 0.01, rng.choice("RAN")) for k in range(60)], ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"], [i64, i32, f64, f64, f64, f64, text]),
         "orders": cols([(k, k % 13, 10.5 * k) for k in range(50)], ["o_orderkey", "o_custkey", "o_totalprice"], [i64, i64, f64]),
         "events": cols([(k, rng.choice("ab"), 1.5 * k) for k in range(30)], ["event_id", "event_type", "value"], [i64, text, f64]),
-        "documents": cols([(k, t, rng.choice(["a", "b", None])) for k, t in enumerate(["One text. Two texts.", None, "", " ", "The text of the tex"] * 4)], ["doc_id", "text", "source"], [i64, text, text]),
-        "pack_targets": cols([(1, "byte_bpe_50k", 8), (2, "none", 5)], ["pack_id", "tokenizer", "capacity_tokens"], [i32, text, i32]),
     }
 
 

@@ -222,3 +222,35 @@ def test_a_task_moves_once(spark):
             assert len({m[0] for m in moves}) == len(moves) and all(a == dict((t, g) for t, g, _ in tasks)[m] for m, a, _ in moves)
     s = spark.createDataFrame([(1, 0), (2, 0)], "task_id bigint, group_no int")
     assert sorted(map(tuple, sched.moved(s, [(1, 0, 3), (1, 3, 5)]).collect())) == [(1, 5), (2, 0)]
+
+
+def test_chunks_combine_as_one(spark):
+    """A chunk of subspaces at a time gives what all at once gives; durations are shared out by points."""
+    f = lambda x: grids.cosine_product(x) + x[0] * x[1] * 3
+    values = []
+    for chunked in (False, True):
+        e = Engine(spark, io.CombiConfig(lmin=[2, 1], lmax=[4, 3], boundary=[2, 2], chunk_points=30))
+        assert e.low == [2, 1]
+        e.run_first(f)
+        e.run_next(lambda p, step: p)
+        assert (e.combine_chunks() > 3) if chunked else e.combine() is None
+        values.append({(r["task_id"], tuple(r["idx"])): round(r["value"], 10) for r in e.points.collect()})
+        st = e.task_stats().collect()
+        assert len(st) == e.scheme.count() and all(r["duration_us"] > 0 and r["sim_time"] > 0 for r in st)
+    assert values[0] == values[1] and len(values[0]) > 100
+
+
+def test_standard_cuts():
+    assert grids.standard_cuts([3, 4, 5], [1, 2, 4]) == [[0], [0, 9], [0, 9, 17, 25]]
+
+
+def test_extra_sparse_grid(spark):
+    from dyadica.operators import combine
+
+    sg = spark.createDataFrame([(0, [0], [1], 1.0), (0, [2], [2], 2.0), (0, [3], [3], 3.0)], "field_id int, x_key array<bigint>, sub_level array<int>, value double")
+    extra = combine.conjoint(sg, spark.createDataFrame([([1],), ([2],), ([1],)], "level array<int>"))
+    assert sorted(r["value"] for r in extra.collect()) == [1.0, 2.0]
+    back = combine.updated(sg, extra.withColumn("value", F.col("value") * 10))
+    assert sorted(r["value"] for r in back.collect()) == [3.0, 10.0, 20.0]
+    sizes = spark.createDataFrame([([1], 3), ([2], 4)], "sub_level array<int>, n_points bigint")
+    assert combine.total_points(sizes).first()[0] == 7 and combine.total_points(sizes, sg.where("value = 3")).first()[0] == 0
