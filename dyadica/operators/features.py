@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.session import cut
+from dyadica.session import cut, stored
 
 KEYS = ["entity", "type_id"]
 #: Columns of the state besides the keys; a name ending in _f counts flagged events alone.
@@ -128,5 +128,6 @@ def timer_deltas(events: DataFrame, attributes: DataFrame, types: DataFrame) ->
         F.coalesce("mgr", F.lit(False)).alias("flagged"),
         "copies",
     ).where("entity IS NOT NULL")
+    survivors = stored(survivors)  # read for the deltas and again for what is recomputed
     deltas = survivors.withColumn("weight", F.explode(F.filter(F.array(F.col("copies"), 1 - F.col("copies")), lambda w: w != 0)))
     return deltas, survivors

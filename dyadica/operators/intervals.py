@@ -20,7 +20,7 @@ HOUR_US = 3_600_000_000
 
 def _heads(df: DataFrame, keys: list[str], start: str, end: str, floor: int) -> tuple[DataFrame, list[str], list[str]]:
     """One row per merged session: its start and end, ``_prev``, the end of all before it (null at
-    the first), and ``_reach``, the end of all up to it; the names of the keys, and of the unit that is one task's."""
+    the first), ``_reach``, the end of all up to it, and ``_next``, the start of the one after it (null at the last); the names of the keys, and of the unit that is one task's."""
     named = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     rows = rows.where(all_of([F.col(c).isNotNull() for c in [*named, "_s", "_e"]]) & (F.col("_e") > F.col("_s")) & F.try_subtract("_e", "_s").isNotNull())
@@ -36,11 +36,12 @@ def _heads(df: DataFrame, keys: list[str], start: str, end: str, floor: int) ->
         .select(*unit, F.unix_micros("_w.start").alias("_s"), F.unix_micros("_w.end").alias("_e"), "_n")
     )
     before = Window.partitionBy(*unit).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    merged = merged.withColumn("_prev", F.max("_e").over(before))
+    merged = merged.withColumn("_prev", F.max("_e").over(before)).withColumn("_next", F.lead("_s").over(Window.partitionBy(*unit).orderBy("_s")))
     if hot:
-        carry = merged.groupBy(*named, "_blk").agg(F.max("_e").alias("_m"))
-        carry = carry.withColumn("_carry", F.max("_m").over(Window.partitionBy(*named).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)))
-        merged = merged.join(carry.drop("_m"), [*named, "_blk"]).withColumn("_prev", F.greatest("_prev", "_carry")).drop("_carry")
+        blocks = Window.partitionBy(*named).orderBy("_blk")
+        carry = merged.groupBy(*named, "_blk").agg(F.max("_e").alias("_m"), F.min("_s").alias("_first"))
+        carry = carry.withColumn("_carry", F.max("_m").over(blocks.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.lead("_first").over(blocks))
+        merged = merged.join(carry.drop("_m", "_first"), [*named, "_blk"]).withColumn("_prev", F.greatest("_prev", "_carry")).withColumn("_next", F.coalesce("_next", "_after")).drop("_carry", "_after")
     return merged.withColumn("_reach", F.greatest("_e", "_prev")), named, unit
 
 
@@ -53,14 +54,14 @@ def gaps(df: DataFrame, keys: list[str], start: str, end: str, *, names: tuple[s
     columns of ``df`` are not looked at.
     """
     heads, named, _ = _heads(df, keys, start, end, floor)
-    return heads.where(F.col("_s") > F.col("_prev")).select(*[F.col(n).alias(k) for n, k in zip(named, keys)], F.col("_prev").alias(names[0]), F.col("_s").alias(names[1]))
+    return heads.where(F.col("_next") > F.col("_reach")).select(*[F.col(n).alias(k) for n, k in zip(named, keys)], F.col("_reach").alias(names[0]), F.col("_next").alias(names[1]))
 
 
 def periods(df: DataFrame, keys: list[str], start: str, end: str, *, names: tuple[str, str] = ("period_start", "period_end"), floor: int = FLOOR) -> DataFrame:
     """The continuous periods of each entity, with ``n_rows``, the intervals merged into each.
 
-    A period ends where the next one says that all before it ended: ``lead`` in each block, and
-    for the last period of a block a table of the first period of each later block. The same
+    A period begins where a session starts after all before it have ended, and ends with the farthest end among its sessions; what goes on over
+    a block's limit is put together from a table of one or two rows per block. The same
     rows cover nothing as in :func:`gaps`.
     """
     sessions, named, unit = _heads(df, keys, start, end, floor)
