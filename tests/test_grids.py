@@ -209,3 +209,17 @@ def test_complex_and_stable_sum(spark):
     assert p.select(numbers.modulus(F.col("value"))).first()[0] == 5.0
     d = spark.createDataFrame([(0.1,)] * 1000 + [(1e6,), (-1e6,)], "v double")
     assert abs(d.agg(numbers.stable_sum(F.col("v"))).first()[0] - 100) < 1e-9
+
+
+def test_corners_are_looked_up_once_a_cell(spark):
+    """However many points lie in a cell, its corners are looked up once; a point with a missing coordinate has no value."""
+    p = grid(spark, [(1, 1), (2, 1)], grids.paraboloid)
+    t = tasks(spark, [(1, 1), (2, 1)])
+    pts = interp.random_points(spark, 500, 2, seed=3)
+    placed = interp._placed(interp._on_all(pts, t, 2), 2)
+    assert placed.count() == 1000 and interp._cells(p, t, placed, 2).count() == 4 + 8
+    plan = interp.at_points(p, t, pts, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Generate posexplode" in x and "pt_id" in x]
+    odd = spark.createDataFrame([(0, [None, 0.5]), (1, [0.25, 0.5]), (2, [-1.0, 0.5])], "pt_id bigint, coords array<double>")
+    got = {r["pt_id"]: r["value"] for r in interp.at_points(p, t, odd, 2).where("task_id = 0").collect()}
+    assert got[0] is None and got[1] is not None and got[2] == 0.0
