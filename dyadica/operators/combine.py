@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dyadica.functions import levels as L
 
@@ -21,6 +22,12 @@ def references(scheme: DataFrame, by: list[str], dim: int) -> DataFrame:
     return scheme.groupBy(*by).agg(F.array(*[F.max(F.get("level", F.lit(d))) for d in range(dim)]).alias("top"))
 
 
+def with_top(scheme: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """The scheme with its ``top`` beside each grid, so that no join over its points is needed."""
+    w = Window.partitionBy(*by)
+    return scheme.withColumn("top", F.array(*[F.max(F.get("level", F.lit(d))).over(w) for d in range(dim)]))
+
+
 def keyed(points: DataFrame) -> DataFrame:
     """Points with ``level`` and ``top``: adds ``x_key`` and ``sub_level``."""
     return points.withColumn("x_key", L.canonical(F.col("idx"), F.col("level"), F.col("top"))).withColumn("sub_level", L.sub_level(F.col("x_key"), F.col("top")))
@@ -141,3 +148,14 @@ def onto(sparse: DataFrame, levels: DataFrame, dim: int, by: list[str] | None =
     base = levels.join(fields, on).drop("_all")
     pts = keyed(indices(base, dim)).withColumn("value", F.lit(0.0))
     return scatter(pts, sparse, by)
+
+
+def on_top(sparse: DataFrame, dim: int, bases: list[str] | str = "hat") -> DataFrame:
+    """Nodal values of sparse grids (task_id, field_id, x_key, top, value) on all points of their reference grids.
+
+    The keys are indices there, so points that a sparse grid lacks are filled into the poles as 0 and never joined.
+    """
+    from dyadica.operators.transform import dehierarchize
+
+    at = sparse.select("task_id", "field_id", F.col("x_key").alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value"), F.col("top").alias("level"))
+    return dehierarchize(at, dim, bases, missing=0.0)

@@ -211,6 +211,30 @@ def test_complex_and_stable_sum(spark):
     assert abs(d.agg(numbers.stable_sum(F.col("v"))).first()[0] - 100) < 1e-9
 
 
+def test_missing_points_of_a_pole(spark):
+    """Points missing from a pole are found by their index, once each, and count as null or as a given value."""
+    t = spark.createDataFrame([(0, 0, [i, 0], float(i), [2, 0]) for i in (0, 1, 4, 4)] + [(0, 0, [i, 1], 1.0, [2, 0]) for i in range(5)], "task_id bigint, field_id int, idx array<bigint>, value double, level array<int>")
+    got = values(transform.along(t, 0, lmin=2))
+    assert [got[0, (i, 0)] for i in range(5)] == [0.0, 1.0, None, None, 4.0] and len(got) == 10
+    got = values(transform.along(t, 0, lmin=2, missing=0.0))
+    assert [got[0, (i, 0)] for i in range(5)] == [0.0, 1.0, 0.0, 0.0, 4.0]
+
+
+def test_on_top_needs_no_join(spark):
+    """The sparse grid on its reference grid: as scattered onto all points, and without a join, whose sides would look small enough to be broadcast."""
+    s = spark.createDataFrame([(1, 0, [2, 3], 1.0), (1, 1, [3, 2], 1.0), (1, 2, [2, 2], -1.0), (None, 3, [1, 1], 1.0)], "scheme_id bigint, task_id bigint, level array<int>, coeff double")
+    s = combine.with_top(s, ["scheme_id"], 2).withColumn("field_id", F.lit(0))
+    k = combine.keyed(transform.hierarchize(grids.filled(s, 2, grids.cosine_product), 2, keep=["scheme_id", "coeff", "top"]))
+    sg = combine.gather(k, ["scheme_id", "top"]).withColumn("task_id", F.col("scheme_id"))
+    out = combine.on_top(sg, 2)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = values(out)
+    target = s.where("scheme_id = 1").select("scheme_id", F.col("scheme_id").alias("task_id"), "top", F.col("top").alias("level")).distinct()
+    want = values(transform.dehierarchize(combine.onto(sg.drop("task_id", "top"), target, 2, ["scheme_id"]).select("task_id", "field_id", "idx", "value", "level"), 2))
+    assert len(want) == 81 and {p for p in got if p[0] is None} == {(None, (i, j)) for i in range(3) for j in range(3)}
+    assert all(abs(got[p] - v) < 1e-12 for p, v in want.items())
+
+
 def test_corners_are_looked_up_once_a_cell(spark):
     """However many points lie in a cell, its corners are looked up once; a point with a missing coordinate has no value."""
     p = grid(spark, [(1, 1), (2, 1)], grids.paraboloid)
@@ -246,15 +270,6 @@ def test_combined_at_the_finest_grid(spark):
     assert 20 < sum(v is None for k, v in want.items() if k[2] == 1) < 200
 
 
-def test_moments_and_errors_without_a_join(spark):
-    p, t, s, pts = _with_gaps(spark)
-    v = interp.combined_at(p, t, s, pts.withColumns({"x0": F.get("coords", F.lit(0)), "x1": F.get("coords", F.lit(1))}), 2, ["scheme_id"]).where("scheme_id = 1 AND field_id = 0").cache()
-    x = [F.col("x0"), F.col("x1")]
-    assert all(abs(a - b) < 1e-12 for a, b in zip(interp.moments(v, x, 2).first(), interp.moments(v, pts, 2).first()))
-    exact = pts.select("pt_id", grids.hyperplane([F.get("coords", F.lit(0)), F.get("coords", F.lit(1))]).alias("value"))
-    assert all(abs(a - b) < 1e-12 for a, b in zip(interp.mc_errors(v, grids.hyperplane(x)).first(), interp.mc_errors(v, exact).first()))
-
-
 def test_fields_summed_at(spark):
     p, t, s, pts = _with_gaps(spark)
     v = interp.combined(interp.at_points(p, t, pts, 2), s, ["scheme_id"])
@@ -262,3 +277,12 @@ def test_fields_summed_at(spark):
     from dyadica.operators.stats import systems_sum
 
     assert plain(interp.fields_summed_at(p, t, s, pts, 2, ["scheme_id"])) == plain(systems_sum(v.where("field_id = 0"), v.where("field_id = 1"), by=["scheme_id"]))
+
+
+def test_moments_and_errors_without_a_join(spark):
+    p, t, s, pts = _with_gaps(spark)
+    v = interp.combined_at(p, t, s, pts.withColumns({"x0": F.get("coords", F.lit(0)), "x1": F.get("coords", F.lit(1))}), 2, ["scheme_id"]).where("scheme_id = 1 AND field_id = 0").cache()
+    x = [F.col("x0"), F.col("x1")]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(interp.moments(v, x, 2).first(), interp.moments(v, pts, 2).first()))
+    exact = pts.select("pt_id", grids.hyperplane([F.get("coords", F.lit(0)), F.get("coords", F.lit(1))]).alias("value"))
+    assert all(abs(a - b) < 1e-12 for a, b in zip(interp.mc_errors(v, grids.hyperplane(x)).first(), interp.mc_errors(v, exact).first()))
